@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,16 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files that no plan refers to any more.
+
+    Spark deletes them when the driver's garbage is collected, which would wait for chance; to be called after a
+    large step whose result is settled.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body and its lambdas use it."""
     return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import release, settle
 from .components import components
 
 EXTRA = 24
@@ -205,11 +205,15 @@ def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str =
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sets = _sets(rows, width, rule)  # made twice: once for the classes, once for the result; that is cheaper than keeping it
     reps = settle(sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("ext").alias("ext")))
+    release(documents.sparkSession)
     indexed = reps.where(F.size("ext") > 0)
     frequent, counts = _frequent(indexed, frequent_from, most_frequent)
+    release(documents.sparkSession)
     index = _index(indexed, rule, frequent, counts)
     heads = index.groupBy("sig").agg(F.min("rep").alias("head"), F.count("*").alias("held")).where("held > 1")
     index = settle(index.join(heads, "sig").select("sig", "rep", "head"))
+    del heads
+    release(documents.sparkSession)
     stars = index.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verified(stars, indexed, rows, width, rule)
     labels = components(links)
