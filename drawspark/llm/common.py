@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,10 @@ def release(spark: SparkSession) -> None:
     Spark deletes them when the driver's garbage is collected, which would wait for chance; to be called after a
     large step whose result is settled.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first collection ends the frames, the second what these held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def let(value: Column, body) -> Column:
