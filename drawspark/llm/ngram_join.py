@@ -11,10 +11,11 @@ A document is the set of hashes of its word shingles; sets x, y link when |x & y
 * Signatures.  A shingle below the frequent count is a signature by itself.  Frequent shingles fall into c
   classes by hash, and two of the same class make one signature.  Of c + 1 shared shingles one is rare or two
   frequent ones share a class, so linked sets share a signature.
-* Verification.  Sets of one signature are first compared to the smallest of them only, and links merge them
-  into components; pairs across components are compared after that.  Pairs inside a component need no look, as
-  only reachability is asked for.  A pair has to share k shingles of the extended prefixes before whole sets,
-  made anew from the texts, decide.
+* Verification.  A set is first compared to one other only: of the smallest sets of its signatures the one that
+  most of them have.  Links merge sets into components; the sets of signatures that still span
+  several components are then joined among themselves by their whole sets, with prefixes for each size of partner,
+  and pairs across components are compared.  Pairs inside a component need no look, as
+  only reachability is asked for.  Whole sets, made anew from the texts, decide.
 
 Equal sets are one class from the start and never expanded into pairs.
 """
@@ -22,6 +23,8 @@ Equal sets are one class from the start and never expanded into pairs.
 from __future__ import annotations
 
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -149,10 +152,19 @@ def _index(reps: DataFrame, rule: Rule, frequent: np.ndarray, counts: np.ndarray
     return reps.select("rep", "n", "ext").where(F.size("ext") > 0).mapInArrow(make, "sig long, rep long")
 
 
+def _few(pairs: DataFrame) -> DataFrame:
+    """The ids in the pairs, marked for a broadcast if there are few."""
+    return _marked(settle(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+
+
+def _marked(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, rule: Rule) -> DataFrame:
     """The pairs (a, b) that link: first by the extended prefixes, then by the whole sets."""
     p = rule.percent
-    known = reps.select("rep", F.col("n"), "ext")
+    known = reps.select("rep", "n", "ext").join(_few(pairs), F.col("rep") == F.col("id"), "left_semi")
     left = known.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("ext").alias("ext_a"))
     right = known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("ext").alias("ext_b"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
@@ -165,31 +177,103 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, ru
         pairs.join(left, "a").join(right, "b").where(100 * small >= p * large)
         .where(F.size(F.array_intersect("ext_a", "ext_b")) >= F.least(shared(small), shared(large))).select("a", "b")
     )
-    wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    return _linked(near, settle(_whole(rows.join(_few(near), "id"), width).dropDuplicates(["id"])), p)
 
-    def whole(batches):
-        for batch in batches:
-            ids, texts = batch.columns
-            for i in range(0, batch.num_rows, 512):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 512), _lists([shingles(t, width) for t in texts.slice(i, 512).to_pylist()])], names=["id", "shingles"])
 
-    wanted = settle(wanted)
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    sets = settle(rows.join(some, "id").mapInArrow(whole, "id long, shingles array<long>").dropDuplicates(["id"]))
-    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return settle(near.join(a, "a").join(b, "b").where(100 * both >= p * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"))
-
-
-def _frequent(reps: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least ``least`` extended prefixes, with their counts; the bar is doubled until at most ``most`` are left."""
+def _frequent(reps: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Shingles in at least ``least`` extended prefixes, with their counts, and the bar, which is
+    doubled until at most ``most`` are left."""
     counted = settle(reps.select(F.explode("ext").alias("s")).groupBy("s").count().where(F.col("count") >= least))
     while counted.where(F.col("count") >= least).count() > most:
         least *= 2
     found = counted.where(F.col("count") >= least).toPandas()
     s = found.s.to_numpy(np.int64)
     order = np.argsort(s)
-    return s[order], found["count"].to_numpy(np.int64)[order]
+    return s[order], found["count"].to_numpy(np.int64)[order], least
+
+
+def _steps(most: int) -> list[int]:
+    """First sizes of size buckets that grow by a twentieth."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(max(out[-1] + 1, out[-1] * 21 // 20))
+    return out
+
+
+def _fine_index(sets: DataFrame, rule: Rule, known: np.ndarray, counts: np.ndarray, complete: bool) -> DataFrame:
+    """(sig, rep, n, pos) over whole sets in the order of rising count, with a prefix for each size bucket of a partner.
+
+    For partners of at least m shingles a set of n needs p (n + m) / (100 + p) shared ones, which is far more than
+    for the smallest possible partner.  complete: shingles that are not in ``known`` occur once and are left out.
+    """
+    p = rule.percent
+    held = sets.sparkSession.sparkContext.broadcast((known, counts))
+
+    def make(batches):
+        known_, counts_ = held.value
+        steps = _steps(1 << 16)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                cols: list[list] = [[], [], [], []]
+                for rep, own in zip(batch.column(0).slice(i, 512).to_pylist(), batch.column(1).slice(i, 512), strict=True):
+                    own = own.values.to_numpy()
+                    n = len(own)
+                    while steps[-1] <= 2 * n:
+                        steps.append(steps[-1] * 21 // 20)
+                    at = np.minimum(np.searchsorted(known_, own), max(0, len(known_) - 1))
+                    count = np.where(known_[at] == own, counts_[at], 0) if len(known_) else np.zeros(n, np.int64)
+                    order = np.lexsort((own, count))
+                    own, count = own[order].view(np.uint64), count[order]
+                    least, mine = rule.need(n), bisect.bisect_right(steps, n) - 1
+                    for b in range(bisect.bisect_right(steps, least) - 1, bisect.bisect_right(steps, 100 * n // p)):
+                        need = -(-p * (n + max(steps[b], least)) // (100 + p))
+                        upto = np.arange(max(0, n - need + 1))
+                        if complete:
+                            upto = upto[count[upto] > 0]
+                        if len(upto):
+                            mark = np.uint64((min(b, mine) * 4096 + max(b, mine) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                            sig = (own[upto] ^ mark) * np.uint64(0xD6E8FEB86659FD93)
+                            cols[0].append((sig ^ (sig >> np.uint64(32))).view(np.int64))
+                            cols[1].append(np.full(len(upto), rep))
+                            cols[2].append(np.full(len(upto), n))
+                            cols[3].append(upto + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in cols], names=["sig", "rep", "n", "pos"])
+
+    return sets.where(F.size("shingles") > 0).mapInArrow(make, "sig long, rep long, n long, pos long")
+
+
+def _across(open_ids: DataFrame, labels: DataFrame, rows: DataFrame, width: int, rule: Rule, most_frequent: int) -> DataFrame:
+    """All links (a, b) between the given sets that join two components."""
+    p = rule.percent
+    sets = settle(_whole(rows.join(_marked(open_ids), "id"), width).dropDuplicates(["id"]))
+    known, counts, bar = _frequent(sets.select(F.col("shingles").alias("ext")), 2, most_frequent)
+    index = _fine_index(sets, rule, known, counts, bar == 2)
+    index = settle(index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")))
+    mixed = index.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    index = index.join(mixed, "sig")
+    x, y = (index.select("sig", *[F.col(c).alias(f"{c}_{k}") for c in ("rep", "n", "pos", "c")]) for k in "ab")
+    left = 1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    within = (F.col("rep_a") < F.col("rep_b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+    # the first shingle that a linked pair shares leaves room for all that it has to share
+    within &= (100 + p) * left >= p * (F.col("n_a") + F.col("n_b"))
+    pairs = settle(x.join(y, "sig").where(within).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct())
+    return _linked(pairs, sets, p)
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return settle(pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("s_a") + F.size("s_b") - both)).select("a", "b"))
+
+
+def _whole(rows: DataFrame, width: int) -> DataFrame:
+    def whole(batches):
+        for batch in batches:
+            ids, texts = batch.columns
+            for i in range(0, batch.num_rows, 512):
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 512), _lists([shingles(t, width) for t in texts.slice(i, 512).to_pylist()])], names=["id", "shingles"])
+
+    return rows.mapInArrow(whole, "id long, shingles array<long>")
 
 
 def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str = "doc_id", text_col: str = "text", frequent_from: int = 8, most_frequent: int = MOST_FREQUENT) -> DataFrame:
@@ -207,24 +291,22 @@ def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str =
     reps = settle(sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("ext").alias("ext")))
     release(documents.sparkSession)
     indexed = reps.where(F.size("ext") > 0)
-    frequent, counts = _frequent(indexed, frequent_from, most_frequent)
+    frequent, counts, _ = _frequent(indexed, frequent_from, most_frequent)
     release(documents.sparkSession)
     index = _index(indexed, rule, frequent, counts)
     heads = index.groupBy("sig").agg(F.min("rep").alias("head"), F.count("*").alias("held")).where("held > 1")
     index = settle(index.join(heads, "sig").select("sig", "rep", "head"))
     del heads
     release(documents.sparkSession)
-    stars = index.where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    common = index.where("rep <> head").groupBy("head", "rep").count()
+    stars = settle(common.groupBy(F.col("rep").alias("b")).agg(F.max_by("head", F.struct("count", -F.col("head"))).alias("a")).select("a", "b"))
     links = _verified(stars, indexed, rows, width, rule)
     labels = components(links)
     known = index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     spread = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_ = settle(known.join(spread, "sig").join(indexed.select("rep", "n"), "rep"))
-    x = open_.select("sig", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    y = open_.select("sig", F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    within = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("a") < F.col("b"))
-    rest = settle(x.join(y, "sig").where(within).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = _verified(rest, indexed, rows, width, rule)
+    open_ids = settle(known.join(spread, "sig").select(F.col("rep").alias("id")).distinct())
+    release(documents.sparkSession)
+    more = _across(open_ids, labels, rows, width, rule, most_frequent)
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     classes = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
