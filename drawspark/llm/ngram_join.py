@@ -12,17 +12,16 @@ A document is the set of hashes of its word shingles; sets x, y link when |x & y
   classes by hash, and two of the same class make one signature.  Of c + 1 shared shingles one is rare or two
   frequent ones share a class, so linked sets share a signature.
 * Verification.  A set is first compared to one other only: of the smallest sets of its signatures the one that
-  most of them have.  Links merge sets into components; the sets of signatures that still span
-  several components are then joined among themselves by their whole sets, with prefixes for each size of partner,
-  and pairs across components are compared.  Pairs inside a component need no look, as
-  only reachability is asked for.  Whole sets, made anew from the texts, decide.
+  most of them have.  Links merge sets into components; the sets that have enough
+  signatures that still span several components (a link takes c + 1 shared shingles) are joined among themselves
+  by their whole sets, with prefixes for each size of partner, and pairs across components are compared.  Pairs
+  inside a component need no look, as only reachability is asked for.  Whole sets, made anew from the texts, decide.
 
 Equal sets are one class from the start and never expanded into pairs.
 """
 
 from __future__ import annotations
 
-
 import bisect
 
 import numpy as np
@@ -94,26 +93,52 @@ class Rule:
         return ([SMALL] if n < SMALL_TO else []) + ([LARGE] if n >= LARGE_FROM else [])
 
 
-def _signatures(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _index_lists(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, counts: np.ndarray):
+    """(scheme, shingles that are signatures by themselves, frequent shingles for pairs) of each scheme of a set."""
     at = np.minimum(np.searchsorted(frequent, ext), max(0, len(frequent) - 1))
     count = np.where(frequent[at] == ext, counts[at], 0) if len(frequent) else np.zeros(len(ext), np.int64)
     order = np.lexsort((ext, count))
-    out = []
     for c in rule.classes(n):
         plain = c in rule.plain
         take = order[: len(ext) - rule.least_shared(n) + 1 + (0 if plain else c)]
         single = plain | (count[take] == 0)
-        out.append(ext[take][single])
-        rest = np.sort(ext[take][~single]).view(np.uint64)
+        yield c, ext[take][single], np.sort(ext[take][~single]).view(np.uint64)
+
+
+def _signatures(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Even numbers for single shingles, odd ones for pairs."""
+    out = []
+    for c, single, rest in _index_lists(ext, n, rule, frequent, counts):
+        out.append(single & ~np.int64(1))
         group = (rest >> np.uint64(7)) % np.uint64(c)
         for g in np.unique(group):
             own = rest[group == g]
             i, j = np.triu_indices(len(own), 1)
             pair = (own[i] * np.uint64(0x9E3779B97F4A7C15) + own[j]) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(c)
-            out.append((pair ^ (pair >> np.uint64(30))).view(np.int64))
+            out.append((pair ^ (pair >> np.uint64(30))).view(np.int64) | np.int64(1))
     return np.unique(np.concatenate(out)) if out else ext[:0]
 
 
+def _may_link(open_: DataFrame, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """The ids among ``open_`` (rep, n, ext, singles) whose lists can share as many shingles as a link takes.
+
+    ``singles`` counts a set's single signatures that other components have too; frequent shingles may all be shared.
+    """
+    held = open_.sparkSession.sparkContext.broadcast((frequent, counts))
+
+    def make(batches):
+        freq, cnt = held.value
+        for batch in batches:
+            ids, sizes, exts, singles = batch.columns
+            keep = []
+            for n, ext, own in zip(sizes.to_pylist(), exts, singles.to_pylist(), strict=True):
+                lists = _index_lists(ext.values.to_numpy(), n, rule, freq, cnt)
+                keep.append(any(own + len(rest) >= (1 if c in rule.plain else c + 1) for c, _, rest in lists))
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep, pa.bool_()))], names=["id"])
+
+    return open_.select("rep", "n", "ext", "singles").mapInArrow(make, "id long")
+
+
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     ends = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=ends[1:])
@@ -304,7 +329,8 @@ def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str =
     labels = components(links)
     known = index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     spread = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_ids = settle(known.join(spread, "sig").select(F.col("rep").alias("id")).distinct())
+    singles = known.join(spread, "sig").groupBy("rep").agg(F.sum((F.col("sig") % 2 == 0).cast("long")).alias("singles"))
+    open_ids = settle(_may_link(indexed.join(singles, "rep"), rule, frequent, counts))
     release(documents.sparkSession)
     more = _across(open_ids, labels, rows, width, rule, most_frequent)
     if not more.isEmpty():
