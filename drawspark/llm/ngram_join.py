@@ -6,14 +6,15 @@ A document is the set of hashes of its word shingles; sets x, y link when |x & y
   p = n - ceil(t n) + 1, are its extended prefix.  Linked sets share k = min over both of L - p + 1 shingles of
   their extended prefixes (a set's k-th shared shingle stands at most at n - ceil(t n) + k).
 * Index list.  Shingles of the extended prefixes are counted over all sets.  Inside its extended prefix each set
-  puts uncounted and rare shingles first, frequent ones by rising count; the first L - k + 1 + c of them are its
-  index list.  Under any one order of all shingles, linked sets share at least c + 1 shingles of their lists.
+  puts uncounted and rare shingles first, frequent ones by rising count; the first L - k + 1 + c + s of them are its
+  index list, s = p / 3.  Under any one order of all shingles, linked sets share at least c + 1 + s shingles of their
+  lists (s of the smaller set).
 * Signatures.  A shingle below the frequent count is a signature by itself.  Frequent shingles fall into c
   classes by hash, and two of the same class make one signature.  Of c + 1 shared shingles one is rare or two
   frequent ones share a class, so linked sets share a signature.
 * Verification.  A set is first compared to one other only: of the smallest sets of its signatures the one that
   most of them have.  Links merge sets into components; the sets that have enough
-  signatures that still span several components (a link takes c + 1 shared shingles) are joined among themselves
+  signatures that still span several components (a link takes c + 1 + s shared shingles) are joined among themselves
   by their whole sets, with prefixes for each size of partner, and pairs across components are compared.  Pairs
   inside a component need no look, as only reachability is asked for.  Whole sets, made anew from the texts, decide.
 
@@ -38,6 +39,7 @@ EXTRA = 24
 SMALL, LARGE = 4, 16
 LARGE_FROM, SMALL_TO = 24, 29
 MOST_FREQUENT = 1 << 20
+BITS = 1 << 26
 #: Ids (8 MB) up to which the wanted documents are found by a broadcast; beyond it by a shuffled join.
 BROADCAST_ROWS = 1 << 20
 
@@ -85,6 +87,13 @@ class Rule:
     def least_shared(self, n: int) -> int:
         return min(self.shared(n), self.shared(max(1, self.need(n))))
 
+    def spare(self, n: int) -> int:
+        """By how many more shingles index lists are extended, to tell near sets from those that share a passage."""
+        return self.prefix(n) // 3
+
+    def least_spare(self, n: int) -> int:
+        return self.spare(max(1, self.need(n)))
+
     def alone(self, n: int) -> bool:
         """Sets so small that only an equal set can link."""
         return n == 0 or (self.need(n) == n and self.percent * (n + 1) > 100 * n)
@@ -93,22 +102,22 @@ class Rule:
         return ([SMALL] if n < SMALL_TO else []) + ([LARGE] if n >= LARGE_FROM else [])
 
 
-def _index_lists(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, counts: np.ndarray):
+def _index_lists(ext: np.ndarray, n: int, rule: Rule, counted: Counted):
     """(scheme, shingles that are signatures by themselves, frequent shingles for pairs) of each scheme of a set."""
-    at = np.minimum(np.searchsorted(frequent, ext), max(0, len(frequent) - 1))
-    count = np.where(frequent[at] == ext, counts[at], 0) if len(frequent) else np.zeros(len(ext), np.int64)
+    count = counted.of(ext)
     order = np.lexsort((ext, count))
     for c in rule.classes(n):
         plain = c in rule.plain
-        take = order[: len(ext) - rule.least_shared(n) + 1 + (0 if plain else c)]
+        take = order[: len(ext) - rule.least_shared(n) + 1 + (0 if plain else c + rule.spare(n))]
         single = plain | (count[take] == 0)
-        yield c, ext[take][single], np.sort(ext[take][~single]).view(np.uint64)
+        own = ext[take][single]
+        yield c, own[counted.twice(own)], np.sort(ext[take][~single]).view(np.uint64)
 
 
-def _signatures(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _signatures(ext: np.ndarray, n: int, rule: Rule, counted: Counted) -> np.ndarray:
     """Even numbers for single shingles, odd ones for pairs."""
     out = []
-    for c, single, rest in _index_lists(ext, n, rule, frequent, counts):
+    for c, single, rest in _index_lists(ext, n, rule, counted):
         out.append(single & ~np.int64(1))
         group = (rest >> np.uint64(7)) % np.uint64(c)
         for g in np.unique(group):
@@ -119,21 +128,21 @@ def _signatures(ext: np.ndarray, n: int, rule: Rule, frequent: np.ndarray, count
     return np.unique(np.concatenate(out)) if out else ext[:0]
 
 
-def _may_link(open_: DataFrame, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
+def _may_link(open_: DataFrame, rule: Rule, counted: Counted) -> DataFrame:
     """The ids among ``open_`` (rep, n, ext, singles) whose lists can share as many shingles as a link takes.
 
     ``singles`` counts a set's single signatures that other components have too; frequent shingles may all be shared.
     """
-    held = open_.sparkSession.sparkContext.broadcast((frequent, counts))
+    held = open_.sparkSession.sparkContext.broadcast(counted)
 
     def make(batches):
-        freq, cnt = held.value
+        known = held.value
         for batch in batches:
             ids, sizes, exts, singles = batch.columns
             keep = []
             for n, ext, own in zip(sizes.to_pylist(), exts, singles.to_pylist(), strict=True):
-                lists = _index_lists(ext.values.to_numpy(), n, rule, freq, cnt)
-                keep.append(any(own + len(rest) >= (1 if c in rule.plain else c + 1) for c, _, rest in lists))
+                lists = _index_lists(ext.values.to_numpy(), n, rule, known)
+                keep.append(any(own + len(rest) >= (1 if c in rule.plain else c + 1 + rule.least_spare(n)) for c, _, rest in lists))
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(keep, pa.bool_()))], names=["id"])
 
     return open_.select("rep", "n", "ext", "singles").mapInArrow(make, "id long")
@@ -161,16 +170,16 @@ def _sets(rows: DataFrame, width: int, rule: Rule) -> DataFrame:
     return rows.mapInArrow(make, "id long, n long, digest binary, ext array<long>")
 
 
-def _index(reps: DataFrame, rule: Rule, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    held = reps.sparkSession.sparkContext.broadcast((frequent, counts))
+def _index(reps: DataFrame, rule: Rule, counted: Counted) -> DataFrame:
+    held = reps.sparkSession.sparkContext.broadcast(counted)
 
     def make(batches):
-        freq, cnt = held.value
+        known = held.value
         for batch in batches:
             ids, sizes, exts = batch.columns
             for i in range(0, batch.num_rows, 1024):
                 reps_, ns = ids.slice(i, 1024).to_numpy(), sizes.slice(i, 1024).to_pylist()
-                sigs = [_signatures(e.values.to_numpy(), n, rule, freq, cnt) for e, n in zip(exts.slice(i, 1024), ns, strict=True)]
+                sigs = [_signatures(e.values.to_numpy(), n, rule, known) for e, n in zip(exts.slice(i, 1024), ns, strict=True)]
                 who = np.repeat(reps_, [len(x) for x in sigs])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(who)], names=["sig", "rep"])
 
@@ -205,16 +214,42 @@ def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, width: int, ru
     return _linked(near, settle(_whole(rows.join(_few(near), "id"), width).dropDuplicates(["id"])), p)
 
 
-def _frequent(reps: DataFrame, least: int, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Shingles in at least ``least`` extended prefixes, with their counts, and the bar, which is
-    doubled until at most ``most`` are left."""
-    counted = settle(reps.select(F.explode("ext").alias("s")).groupBy("s").count().where(F.col("count") >= least))
+class Counted:
+    """What tasks know of the shingles' counts: those of the frequent ones, and a bitmap of all that occur twice.
+
+    The bitmap has a fixed size (8 MB) and may also hold others, which only costs work; a shingle that it doesn't
+    hold occurs once.
+    """
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray, bits: np.ndarray):
+        self.shingles, self.counts, self.bits = shingles, counts, bits
+
+    def of(self, s: np.ndarray) -> np.ndarray:
+        """Counts; 0 for shingles that are not frequent."""
+        if not len(self.shingles):
+            return np.zeros(len(s), np.int64)
+        at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
+        return np.where(self.shingles[at] == s, self.counts[at], 0)
+
+    def twice(self, s: np.ndarray) -> np.ndarray:
+        at = s & np.int64(BITS - 1)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _counted(sets: DataFrame, least: int, most: int) -> Counted:
+    """Counts of the shingles in ``ext``; the bar for frequent ones is doubled until at most ``most`` are left."""
+    counted = settle(sets.select(F.explode("ext").alias("s")).groupBy("s").count().where("count > 1"))
+    at = F.col("s").bitwiseAND(F.lit(BITS - 1))
+    maps = counted.groupBy(F.floor(at / 32768).alias("k")).agg(F.bitmap_construct_agg(at % 32768).alias("m")).toArrow()
+    bits = np.zeros(BITS // 8, np.uint8)
+    for k, m in zip(maps["k"].to_pylist(), maps["m"].to_pylist(), strict=True):
+        bits[k * 4096 : (k + 1) * 4096] = np.frombuffer(m, np.uint8)
     while counted.where(F.col("count") >= least).count() > most:
         least *= 2
     found = counted.where(F.col("count") >= least).toArrow()  # as Arrow batches: Rows of Python objects take ten times the memory
     s = found["s"].to_numpy()
     order = np.argsort(s)
-    return s[order], found["count"].to_numpy()[order], least
+    return Counted(s[order], found["count"].to_numpy()[order], bits)
 
 
 def _steps(most: int) -> list[int]:
@@ -225,17 +260,17 @@ def _steps(most: int) -> list[int]:
     return out
 
 
-def _fine_index(sets: DataFrame, rule: Rule, known: np.ndarray, counts: np.ndarray, complete: bool) -> DataFrame:
+def _fine_index(sets: DataFrame, rule: Rule, counted: Counted) -> DataFrame:
     """(sig, rep, n, pos) over whole sets in the order of rising count, with a prefix for each size bucket of a partner.
 
     For partners of at least m shingles a set of n needs p (n + m) / (100 + p) shared ones, which is far more than
-    for the smallest possible partner.  complete: shingles that are not in ``known`` occur once and are left out.
+    for the smallest possible partner.  Shingles that occur once are left out.
     """
     p = rule.percent
-    held = sets.sparkSession.sparkContext.broadcast((known, counts))
+    held = sets.sparkSession.sparkContext.broadcast(counted)
 
     def make(batches):
-        known_, counts_ = held.value
+        known = held.value
         steps = _steps(1 << 16)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -245,16 +280,14 @@ def _fine_index(sets: DataFrame, rule: Rule, known: np.ndarray, counts: np.ndarr
                     n = len(own)
                     while steps[-1] <= 2 * n:
                         steps.append(steps[-1] * 21 // 20)
-                    at = np.minimum(np.searchsorted(known_, own), max(0, len(known_) - 1))
-                    count = np.where(known_[at] == own, counts_[at], 0) if len(known_) else np.zeros(n, np.int64)
-                    order = np.lexsort((own, count))
-                    own, count = own[order].view(np.uint64), count[order]
+                    count, often = known.of(own), known.twice(own)
+                    order = np.lexsort((own, count, often))
+                    own, often = own[order].view(np.uint64), often[order]
                     least, mine = rule.need(n), bisect.bisect_right(steps, n) - 1
                     for b in range(bisect.bisect_right(steps, least) - 1, bisect.bisect_right(steps, 100 * n // p)):
                         need = -(-p * (n + max(steps[b], least)) // (100 + p))
                         upto = np.arange(max(0, n - need + 1))
-                        if complete:
-                            upto = upto[count[upto] > 0]
+                        upto = upto[often[upto]]
                         if len(upto):
                             mark = np.uint64((min(b, mine) * 4096 + max(b, mine) + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
                             sig = (own[upto] ^ mark) * np.uint64(0xD6E8FEB86659FD93)
@@ -271,8 +304,10 @@ def _across(open_ids: DataFrame, labels: DataFrame, rows: DataFrame, width: int,
     """All links (a, b) between the given sets that join two components."""
     p = rule.percent
     sets = settle(_whole(rows.join(_marked(open_ids), "id"), width).dropDuplicates(["id"]))
-    known, counts, bar = _frequent(sets.select(F.col("shingles").alias("ext")), 2, most_frequent)
-    index = _fine_index(sets, rule, known, counts, bar == 2)
+    release(rows.sparkSession)
+    counted = _counted(sets.select(F.col("shingles").alias("ext")), 2, most_frequent)
+    release(rows.sparkSession)
+    index = _fine_index(sets, rule, counted)
     index = settle(index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")))
     mixed = index.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
     index = index.join(mixed, "sig")
@@ -316,9 +351,9 @@ def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str =
     reps = settle(sets.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("ext").alias("ext")))
     release(documents.sparkSession)
     indexed = reps.where(F.size("ext") > 0)
-    frequent, counts, _ = _frequent(indexed, frequent_from, most_frequent)
+    counted = _counted(indexed, frequent_from, most_frequent)
     release(documents.sparkSession)
-    index = _index(indexed, rule, frequent, counts)
+    index = _index(indexed, rule, counted)
     heads = index.groupBy("sig").agg(F.min("rep").alias("head"), F.count("*").alias("held")).where("held > 1")
     index = settle(index.join(heads, "sig").select("sig", "rep", "head"))
     del heads
@@ -330,7 +365,7 @@ def join(documents: DataFrame, percent: int = 85, width: int = 4, id_col: str =
     known = index.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
     spread = known.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
     singles = known.join(spread, "sig").groupBy("rep").agg(F.sum((F.col("sig") % 2 == 0).cast("long")).alias("singles"))
-    open_ids = settle(_may_link(indexed.join(singles, "rep"), rule, frequent, counts))
+    open_ids = settle(_may_link(indexed.join(singles, "rep"), rule, counted))
     release(documents.sparkSession)
     more = _across(open_ids, labels, rows, width, rule, most_frequent)
     if not more.isEmpty():
