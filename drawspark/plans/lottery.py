@@ -1,3 +1,480 @@
-"""Queries over the derived draw view."""
+"""Queries over the derived draw view, each with equivalent SQL where SQL expresses it."""
 
-QUERIES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from drawspark.functions.game import SPEC
+from drawspark.operators import evaluation as E
+from drawspark.operators import history as H
+from drawspark.operators import live as L
+from drawspark.operators import models, montecarlo
+from drawspark.operators import validation as V
+from drawspark.sources import draws as D
+
+
+@dataclass(frozen=True)
+class Query:
+    name: str
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str = ""
+
+
+QUERIES: list[Query] = []
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES.append(Query(f.__name__, f, sql and VIEW + sql))
+        return f
+
+    return add
+
+
+# The draw view in SQL; queries below go on from d (daily draws), a (all orders), m (membership of d) and w (dirty draws).
+VIEW = """
+WITH o AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'baloto' ELSE 'revancha' END AS juego, o_orderdate::DATE AS fecha, o_orderkey AS k, o_custkey AS c FROM orders),
+first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY juego, fecha ORDER BY k) AS r FROM o) WHERE r = 1),
+d AS (SELECT fecha, row_number() OVER (PARTITION BY juego ORDER BY fecha) AS n_sorteo, juego,
+  list_sort(list_transform([0, 1, 2, 3, 4], lambda i: ((k * 17 + c) % 43 + i * (1 + c % 42)) % 43 + 1)) AS balls, (1 + (k + c) % 16)::INTEGER AS superbalota FROM first_),
+a AS (SELECT fecha, row_number() OVER (PARTITION BY juego ORDER BY fecha, k) AS n_sorteo, juego,
+  list_sort(list_transform([0, 1, 2, 3, 4], lambda i: ((k * 17 + c) % 43 + i * (1 + c % 42)) % 43 + 1)) AS balls, (1 + (k + c) % 16)::INTEGER AS superbalota FROM o),
+dt AS (SELECT *, n_sorteo - 1 AS t FROM d),
+m AS (SELECT juego, t, n_sorteo, fecha, num::INTEGER AS num, list_contains(balls, num)::INTEGER AS y FROM dt, range(1, 44) g(num)),
+past AS (SELECT *, coalesce(sum(y) OVER (PARTITION BY juego, num ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS past FROM m),
+fb AS (SELECT *, (past + 10.0 * (5.0::DOUBLE / 43)) / (t + 10.0) AS p FROM past),
+w0 AS (SELECT CASE WHEN n_sorteo % 151 = 0 THEN fecha - 9 ELSE fecha END AS fecha, n_sorteo, CASE WHEN n_sorteo % 211 = 0 THEN 'miloto' ELSE juego END AS juego, balls[1]::INTEGER AS b1,
+  CASE WHEN n_sorteo % 83 = 0 THEN balls[1] ELSE balls[2] END::INTEGER AS b2, balls[3]::INTEGER AS b3, balls[4]::INTEGER AS b4, CASE WHEN n_sorteo % 97 = 0 THEN 44 ELSE balls[5] END::INTEGER AS b5,
+  CASE WHEN n_sorteo % 89 = 0 THEN 17 ELSE superbalota END AS superbalota FROM d WHERE n_sorteo % 101 <> 0),
+w AS (SELECT * FROM w0 UNION ALL SELECT * FROM w0 WHERE n_sorteo % 103 = 0 UNION ALL SELECT * REPLACE (superbalota % 16 + 1 AS superbalota) FROM w0 WHERE n_sorteo % 107 = 0),
+u AS (SELECT *, count(*) AS copies FROM w GROUP BY ALL),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY juego, n_sorteo ORDER BY fecha, b1, b2, b3, b4, b5, superbalota) AS r FROM u) WHERE r = 1)
+"""
+TEXT = "fecha::VARCHAR AS fecha, n_sorteo, juego"
+
+
+def _daily(s: SparkSession, d: str) -> DataFrame:
+    return D.draws_daily(s, d)
+
+
+def _members(s: SparkSession, d: str, next_row: bool = False) -> DataFrame:
+    return H.membership(_daily(s, d), next_row=next_row)
+
+
+def _dirty(s: SparkSession, d: str) -> DataFrame:
+    return D.dirty(_daily(s, d))
+
+
+def _day():
+    return F.col("fecha").cast("string").alias("fecha")
+
+
+# --- projections and scalar functions
+
+
+@query(f"SELECT {TEXT}, balls[1]::INTEGER AS b1, balls[2]::INTEGER AS b2, balls[3]::INTEGER AS b3, balls[4]::INTEGER AS b4, balls[5]::INTEGER AS b5, superbalota FROM d")
+def canonicalize(s, d):
+    mixed = _daily(s, d).withColumn("juego", F.concat(F.lit("  "), F.upper("juego")))
+    mixed = mixed.withColumns({"b1": F.col("b5"), "b5": F.col("b1")})
+    return D.canonical(mixed).withColumn("fecha", _day())
+
+
+@query("""SELECT n_sorteo, juego, fecha::VARCHAR AS fecha FROM d""")
+def parse_spanish_date(s, d):
+    month = F.element_at(F.array(*[F.lit(m.capitalize()) for m in D.MONTHS]), F.month("fecha"))
+    text = F.concat(F.lit(" "), F.dayofmonth("fecha").cast("string"), F.lit(" de "), month, F.lit(" de "), F.year("fecha").cast("string"), F.lit(" "))
+    return _daily(s, d).select("n_sorteo", "juego", D.parse_spanish_date(text).cast("string").alias("fecha"))
+
+
+@query("SELECT n_sorteo, juego, 'Aeiou nn ' || juego AS plain FROM d")
+def strip_accents(s, d):
+    return _daily(s, d).select("n_sorteo", "juego", D.strip_accents(F.concat(F.lit("Áéíóü ñn "), "juego")).alias("plain"))
+
+
+@query("SELECT juego, n_sorteo, (isodow(fecha) - 1)::INTEGER AS weekday, (isodow(fecha) = 1)::INTEGER AS lunes, (isodow(fecha) = 3)::INTEGER AS miercoles, (isodow(fecha) = 6)::INTEGER AS sabado FROM d")
+def weekday_one_hot(s, d):
+    day = F.weekday("fecha")
+    return _daily(s, d).select("juego", "n_sorteo", day.alias("weekday"), *[(day == k).cast("int").alias(n) for k, n in ((0, "lunes"), (2, "miercoles"), (5, "sabado"))])
+
+
+@query("SELECT juego || '-' || n_sorteo AS id, array_to_string(list_transform(balls, lambda b: lpad(b::VARCHAR, 2, '0')), '-') AS combination FROM d")
+def format_combination(s, d):
+    return _daily(s, d).select(L.prediction_id(F.col("juego"), F.col("n_sorteo")).alias("id"), L.format_combination(F.col("balls")).alias("combination"))
+
+
+@query("SELECT juego, n_sorteo, (fecha + 1)::VARCHAR || 'T01:00:00Z' AS deadline FROM d")
+def prediction_deadline(s, d):
+    return _daily(s, d).select("juego", "n_sorteo", L.deadline_utc(F.col("fecha")).alias("deadline"))
+
+
+@query("""SELECT juego, n_sorteo, array_to_string(list_transform(range(1, 44), lambda j: list_contains(balls, j)::INTEGER), '') AS y_balls,
+  array_to_string(list_transform(range(1, 17), lambda j: (superbalota = j)::INTEGER), '') AS y_extra FROM d""")
+def multi_hot(s, d):
+    hot = lambda n, test: F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: test(j).cast("int").cast("string")), "")
+    return _daily(s, d).select("juego", "n_sorteo", hot(43, lambda j: F.array_contains("balls", j)).alias("y_balls"), hot(16, lambda j: F.col("superbalota") == j).alias("y_extra"))
+
+
+@query("SELECT juego, n_sorteo, array_to_string(balls, '-') AS balls FROM d")
+def decode_multi_hot(s, d):
+    members = _members(s, d).where("y = 1").groupBy("juego", "n_sorteo").agg(F.array_sort(F.collect_list("num")).alias("balls"))  # five a draw
+    return members.select("juego", "n_sorteo", F.array_join("balls", "-").alias("balls"))
+
+
+@query("SELECT sha256(string_agg(juego || ',' || n_sorteo || ',' || fecha::VARCHAR || ',' || array_to_string(balls, ',') || ',' || superbalota, chr(10) ORDER BY juego, n_sorteo)) AS draws_hash FROM d")
+def draws_hash(s, d):
+    line = F.concat_ws(",", "juego", F.col("n_sorteo").cast("string"), F.col("fecha").cast("string"), F.array_join("balls", ","), F.col("superbalota").cast("string"))
+    rows = F.array_sort(F.collect_list(F.struct("juego", "n_sorteo", line.alias("line"))))
+    return _daily(s, d).agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["line"]), "\n"), 256).alias("draws_hash"))
+
+
+@query("SELECT juego, n_sorteo, (isodow(fecha) IN (1, 3, 6) AND (isodow(fecha) <> 1 OR fecha >= DATE '1998-01-01')) AS draw_day FROM d")
+def calendar_is_draw_day(s, d):
+    off = V.off_calendar(_daily(s, d).select(D.COLUMNS), calendar(s)).select("juego", "n_sorteo", F.lit(False).alias("ok"))
+    return _daily(s, d).join(off, ["juego", "n_sorteo"], "left").select("juego", "n_sorteo", F.coalesce("ok", F.lit(True)).alias("draw_day"))
+
+
+def calendar(s: SparkSession) -> DataFrame:
+    rows = [("1990-01-01", "1998-01-01", [2, 5]), ("1998-01-01", "2100-01-01", [0, 2, 5])]
+    return s.createDataFrame(rows, "start string, until string, weekdays array<int>").select(F.to_date("start").alias("start"), F.to_date("until").alias("until"), "weekdays")
+
+
+@query("""SELECT juego, n_sorteo, (SELECT min(fecha + i::INTEGER) FROM range(1, 15) g(i) WHERE isodow(fecha + i::INTEGER) IN (3, 6) OR (isodow(fecha + i::INTEGER) = 1 AND fecha + i::INTEGER >= DATE '1998-01-01'))::VARCHAR AS next_date FROM d""")
+def next_draw_date(s, d):
+    days = _daily(s, d).select("fecha").distinct().withColumn("day", F.explode(F.sequence(F.date_add("fecha", 1), F.date_add("fecha", 14))))
+    on = (F.col("day") >= F.col("start")) & (F.col("day") < F.col("until")) & F.array_contains("weekdays", F.weekday("day"))
+    following = days.join(F.broadcast(calendar(s)), on).groupBy("fecha").agg(F.min("day").cast("string").alias("next_date"))
+    return _daily(s, d).join(following, "fecha").select("juego", "n_sorteo", "next_date")
+
+
+# --- joins
+
+
+@query("SELECT juego, n_sorteo FROM d ANTI JOIN (SELECT juego, n_sorteo FROM d WHERE n_sorteo % 3 <> 0) k USING (juego, n_sorteo)")
+def split_new(s, d):
+    rows = _daily(s, d)
+    return V.split_new(rows.where("n_sorteo % 3 <> 0"), rows).select("juego", "n_sorteo")
+
+
+@query("SELECT w.juego, w.n_sorteo FROM w JOIN w0 USING (juego, n_sorteo) WHERE NOT (w.fecha = w0.fecha AND w.b1 = w0.b1 AND w.b2 = w0.b2 AND w.b3 = w0.b3 AND w.b4 = w0.b4 AND w.b5 = w0.b5 AND w.superbalota = w0.superbalota)")
+def find_conflicts(s, d):
+    return V.conflicts(_dirty_base(s, d), _dirty(s, d)).select("juego", "n_sorteo")
+
+
+def _dirty_base(s, d):
+    return D.faulty(_daily(s, d))
+
+
+@query("""SELECT 'warning' AS level, CASE WHEN r.n_sorteo IS NULL THEN 'cruce_solo_baloto' WHEN l.n_sorteo IS NULL THEN 'cruce_solo_revancha' ELSE 'cruce_fecha_distinta' END AS "check", coalesce(l.n_sorteo, r.n_sorteo) AS n_sorteo
+  FROM (SELECT * FROM one WHERE juego = 'baloto') l FULL JOIN (SELECT * FROM one WHERE juego = 'revancha') r ON l.n_sorteo = r.n_sorteo WHERE l.n_sorteo IS NULL OR r.n_sorteo IS NULL OR l.fecha <> r.fecha""")
+def cross_game(s, d):
+    return V.cross_game(_dirty(s, d), *SPEC.games).select("level", "check", "n_sorteo")
+
+
+@query("SELECT juego, n_sorteo, num, y FROM m")
+def membership_long(s, d):
+    return _members(s, d).select("juego", "n_sorteo", "num", "y")
+
+
+@query("SELECT l.n_sorteo, len(list_intersect(l.balls, r.balls))::INTEGER AS common, (l.superbalota = r.superbalota)::INTEGER AS same_extra FROM d l JOIN d r ON l.n_sorteo = r.n_sorteo WHERE l.juego = 'baloto' AND r.juego = 'revancha'")
+def common_balls(s, d):
+    rows = _daily(s, d)
+    a, b = (rows.where(F.col("juego") == g).select("n_sorteo", F.col("balls").alias(f"balls_{g}"), F.col("superbalota").alias(f"extra_{g}")) for g in SPEC.games)
+    return a.join(b, "n_sorteo").select("n_sorteo", F.size(F.array_intersect("balls_baloto", "balls_revancha")).alias("common"), (F.col("extra_baloto") == F.col("extra_revancha")).cast("int").alias("same_extra"))
+
+
+@query("SELECT count(*) AS combinations FROM range(1, 44) a(a), range(1, 44) b(b), range(1, 44) c(c), range(1, 44) e(e), range(1, 44) f(f) WHERE a < b AND b < c AND c < e AND e < f")
+def combination_space(s, d):
+    out = s.range(1, 44).select(F.col("id").alias("x0"))
+    for k in range(1, 5):  # each level only meets the larger labels
+        out = out.withColumn(f"x{k}", F.explode(F.when(F.col(f"x{k - 1}") < 43, F.sequence(F.col(f"x{k - 1}") + 1, F.lit(43).cast("long")))))
+    return out.agg(F.count("*").alias("combinations"))
+
+
+@query("SELECT juego || '-' || n_sorteo AS prediccion_id FROM d WHERE n_sorteo % 4 = 0")
+def pending_predictions(s, d):
+    rows = _daily(s, d).select(L.prediction_id(F.col("juego"), F.col("n_sorteo")).alias("prediccion_id"), "n_sorteo")
+    return L.pending(rows, rows.where("n_sorteo % 4 <> 0")).select("prediccion_id")
+
+
+RECONCILED = """, guess AS (SELECT juego, n_sorteo + 1 AS n_sorteo, balls, superbalota FROM d WHERE n_sorteo % 2 = 0),
+rec AS (SELECT d.juego || '-' || d.n_sorteo AS prediccion_id, d.juego, d.n_sorteo, len(list_intersect(g.balls, d.balls))::INTEGER AS aciertos, (g.superbalota = d.superbalota)::INTEGER AS acierto_superbalota,
+  array_to_string(list_transform(d.balls, lambda b: lpad(b::VARCHAR, 2, '0')), '-') AS resultado FROM guess g JOIN d USING (juego, n_sorteo))
+"""
+
+
+def _reconciled(s, d):
+    rows = _daily(s, d)
+    guess = rows.where("n_sorteo % 2 = 0").withColumn("n_sorteo", F.col("n_sorteo") + 1)
+    guess = guess.select(L.prediction_id(F.col("juego"), F.col("n_sorteo")).alias("prediccion_id"), "juego", "n_sorteo", L.format_combination(F.col("balls")).alias("combinacion"), F.col("superbalota").alias("superbalota_sugerida"))
+    return L.reconcile(guess, guess.limit(0), rows)
+
+
+@query(RECONCILED + "SELECT prediccion_id, juego, n_sorteo, resultado, aciertos, acierto_superbalota FROM rec")
+def reconcile(s, d):
+    return _reconciled(s, d).select("prediccion_id", "juego", "n_sorteo", "resultado", "aciertos", "acierto_superbalota")
+
+
+@query(RECONCILED + f""", g AS (SELECT juego, count(*) AS n, sum(aciertos)::BIGINT AS hits, sum(acierto_superbalota)::BIGINT AS extra_hits FROM rec GROUP BY juego)
+SELECT juego, n, hits, extra_hits, round(n * 25.0::DOUBLE / 43, 6) AS expected, round((hits - n * 25.0::DOUBLE / 43) / sqrt(n * {SPEC.hits_variance!r}::DOUBLE), 6) AS z FROM g""")
+def live_summary(s, d):
+    return L.live_summary(_reconciled(s, d)).select("juego", "n", "hits", "extra_hits", F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z"))
+
+
+# --- aggregations
+
+
+@query("SELECT juego, max(n_sorteo) AS last FROM d GROUP BY juego")
+def known_last(s, d):
+    return _daily(s, d).groupBy("juego").agg(F.max("n_sorteo").alias("last"))
+
+
+@query("""SELECT juego, year(fecha)::INTEGER AS year, (isodow(fecha) - 1)::INTEGER AS weekday, count(*) AS n, min(fecha)::VARCHAR AS first, max(fecha)::VARCHAR AS last
+  FROM d GROUP BY GROUPING SETS ((juego), (juego, year(fecha)::INTEGER), (juego, (isodow(fecha) - 1)::INTEGER))""")
+def summarize(s, d):
+    _daily(s, d).select("juego", "fecha", F.year("fecha").alias("year"), F.weekday("fecha").alias("weekday")).createOrReplaceTempView("draw_days")
+    return s.sql("SELECT juego, year, weekday, count(*) AS n, CAST(min(fecha) AS STRING) AS first, CAST(max(fecha) AS STRING) AS last FROM draw_days GROUP BY GROUPING SETS ((juego), (juego, year), (juego, weekday))")
+
+
+@query("SELECT DISTINCT fecha::VARCHAR AS fecha, n_sorteo, juego, b1, b2, b3, b4, b5, superbalota FROM w")
+def dedupe_draws(s, d):
+    return _dirty(s, d).dropDuplicates(D.COLUMNS).withColumn("fecha", _day())
+
+
+@query("SELECT fecha::VARCHAR AS fecha, n_sorteo, juego, b1, b2, b3, b4, b5, superbalota FROM w UNION ALL SELECT fecha::VARCHAR, n_sorteo, juego, b1, b2, b3, b4, b5, superbalota FROM w0")
+def concat_draws(s, d):
+    return D.concat_draws(_dirty(s, d), _dirty_base(s, d)).withColumn("fecha", _day())
+
+
+@query("SELECT juego, num::INTEGER AS num, sum(y)::BIGINT AS seen, count(*) AS n FROM m GROUP BY juego, num")
+def ball_counts(s, d):
+    return E.label_counts(_daily(s, d)).select("juego", "num", "seen", "n")
+
+
+@query(RECONCILED + "SELECT g.juego, h.h::INTEGER AS hits, count(rec.aciertos) AS n FROM (SELECT DISTINCT juego FROM rec) g CROSS JOIN range(0, 6) h(h) LEFT JOIN rec ON rec.juego = g.juego AND rec.aciertos = h.h GROUP BY ALL")
+def hits_distribution(s, d):
+    seen = _reconciled(s, d).groupBy("juego", F.col("aciertos").alias("hits")).count()
+    grid = seen.select("juego").distinct().withColumn("hits", F.explode(F.array(*map(F.lit, range(6)))))
+    return grid.join(seen, ["juego", "hits"], "left").select("juego", "hits", F.coalesce("count", F.lit(0)).cast("long").alias("n"))
+
+
+@query("SELECT juego, least(floor(p * 10 * 4), 9)::INTEGER AS decile, count(*) AS n FROM fb GROUP BY ALL")
+def decile_histogram(s, d):
+    return _baseline(s, d).groupBy("juego", F.least(F.floor(F.col("p") * 10 * 4), F.lit(9)).cast("int").alias("decile")).agg(F.count("*").alias("n"))
+
+
+@query(RECONCILED + "SELECT juego, round(avg(aciertos), 9) AS mean, round(stddev_samp(aciertos), 9) AS std, round(quantile_cont(aciertos, 0.025), 9) AS low, round(quantile_cont(aciertos, 0.975), 9) AS high FROM rec GROUP BY juego")
+def mean_and_interval(s, d):
+    return _reconciled(s, d).groupBy("juego").agg(
+        F.round(F.avg("aciertos"), 9).alias("mean"), F.round(F.stddev_samp("aciertos"), 9).alias("std"), F.round(F.percentile("aciertos", 0.025), 9).alias("low"), F.round(F.percentile("aciertos", 0.975), 9).alias("high")
+    )
+
+
+# --- sequences
+
+
+@query("SELECT juego, n_sorteo, t FROM dt")
+def draw_index(s, d):
+    return H.indexed(_daily(s, d)).select("juego", "n_sorteo", "t")
+
+
+@query("SELECT juego, t, num, past FROM past")
+def past_counts(s, d):
+    return _members(s, d).select("juego", "t", "num", H.past_count().cast("long").alias("past"))
+
+
+FEATURES = """SELECT juego, t, num, past,
+  round((past - coalesce(lag(past, 10) OVER o, 0)) / greatest(least(t, 10), 1)::DOUBLE, 9) AS freq_10, round((past - coalesce(lag(past, 30) OVER o, 0)) / greatest(least(t, 30), 1)::DOUBLE, 9) AS freq_30,
+  round((past - coalesce(lag(past, 100) OVER o, 0)) / greatest(least(t, 100), 1)::DOUBLE, 9) AS freq_100,
+  least(t - coalesce(max(CASE WHEN y = 1 THEN t END) OVER (PARTITION BY juego, num ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), 100) AS gap,
+  round((past - coalesce(lag(past, 15) OVER o, 0)) / greatest(least(t, 15), 1)::DOUBLE - (coalesce(lag(past, 15) OVER o, 0) - coalesce(lag(past, 30) OVER o, 0)) / greatest(least(t - 15, 15), 1)::DOUBLE, 9) AS trend
+  FROM past WINDOW o AS (PARTITION BY juego, num ORDER BY t)"""
+
+
+@query(FEATURES)
+def number_features(s, d):
+    f = H.features(_members(s, d))
+    return f.select("juego", "t", "num", "past", *[F.round(c, 9).alias(c) for c in ("freq_10", "freq_30", "freq_100")], "gap", F.round("trend", 9).alias("trend"))
+
+
+@query("SELECT juego, t, num, round(avg(y) OVER (PARTITION BY juego, num ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 9) AS freq FROM m")
+def rolling_frequency_leaky(s, d):
+    return H.leaky_frequency(_members(s, d)).select("juego", "t", "num", F.round("freq", 9).alias("freq"))
+
+
+@query(RECONCILED + "SELECT juego, n_sorteo, sum(aciertos) OVER o::BIGINT AS observed, round(row_number() OVER o * 25.0::DOUBLE / 43, 6) AS expected FROM rec WINDOW o AS (PARTITION BY juego ORDER BY n_sorteo)")
+def cumulative_vs_chance(s, d):
+    o = Window.partitionBy("juego").orderBy("n_sorteo")
+    return _reconciled(s, d).select("juego", "n_sorteo", F.sum("aciertos").over(o).alias("observed"), F.round(F.row_number().over(o) * 25.0 / 43, 6).alias("expected"))
+
+
+@query("SELECT juego, t, floor((t - 250) / 10)::BIGINT AS block, (250 + 10 * floor((t - 250) / 10))::BIGINT AS train_end FROM dt WHERE t >= 250")
+def walk_forward_blocks(s, d):
+    block = F.floor((F.col("t") - 250) / 10)
+    return H.indexed(_daily(s, d)).where("t >= 250").select("juego", "t", block.alias("block"), (250 + 10 * block).alias("train_end"))
+
+
+# --- validation
+
+CHECKS = {
+    "v_ball_range": ("SELECT juego, n_sorteo FROM w WHERE least(b1, b2, b3, b4, b5) < 1 OR greatest(b1, b2, b3, b4, b5) > 43", "rango_balotas"),
+    "v_super_range": ("SELECT juego, n_sorteo FROM w WHERE superbalota NOT BETWEEN 1 AND 16", "rango_superbalota"),
+    "v_repeated": ("SELECT juego, n_sorteo FROM w WHERE len(list_distinct([b1, b2, b3, b4, b5])) < 5", "repetidas"),
+    "v_nulls": ("SELECT juego, n_sorteo FROM w WHERE fecha IS NULL", "nulos"),
+    "v_unknown_game": ("SELECT juego, n_sorteo FROM w WHERE juego NOT IN ('baloto', 'revancha')", "juego_desconocido"),
+    "v_dup_rows": ("SELECT juego, n_sorteo FROM u WHERE copies > 1", "filas_duplicadas"),
+    "v_dup_number": ("SELECT juego, n_sorteo FROM u QUALIFY count(*) OVER (PARTITION BY juego, n_sorteo) > 1", "n_sorteo_duplicado"),
+    "v_dup_date": ("SELECT juego, n_sorteo FROM u QUALIFY count(*) OVER (PARTITION BY juego, fecha) > 1", "fecha_duplicada"),
+    "v_gaps": ("SELECT juego, n_sorteo FROM one QUALIFY n_sorteo - lag(n_sorteo) OVER (PARTITION BY juego ORDER BY n_sorteo) > 1", "saltos"),
+    "v_date_order": ("SELECT juego, n_sorteo FROM one QUALIFY fecha - lag(fecha) OVER (PARTITION BY juego ORDER BY n_sorteo) <= 0", "orden_fechas"),
+}
+
+
+def _check(name: str, check: str):
+    def run(s, d):
+        rows = _dirty(s, d)
+        found = next(f for f, c in zip([*V.row_checks(rows), *V.sequence_checks(rows)], ROW_AND_SEQUENCE, strict=True) if c == check)
+        return found.select("juego", "n_sorteo")
+
+    run.__name__ = name
+    return run
+
+
+ROW_AND_SEQUENCE = ["nulos", "rango_balotas", "rango_superbalota", "repetidas", "juego_desconocido", "filas_duplicadas", "n_sorteo_duplicado", "fecha_duplicada", "saltos", "orden_fechas"]
+for _name, (_sql, _kind) in CHECKS.items():
+    query(_sql)(_check(_name, _kind))
+
+
+@query(", every AS (" + " UNION ALL ".join(f"SELECT 'error' AS level, '{k}' AS \"check\", juego, n_sorteo FROM ({q})" for q, k in CHECKS.values()) + """
+ UNION ALL SELECT 'warning', 'fuera_de_calendario', juego, n_sorteo FROM one WHERE NOT (isodow(fecha) IN (1, 3, 6) AND (isodow(fecha) <> 1 OR fecha >= DATE '1998-01-01'))
+ UNION ALL SELECT 'warning', CASE WHEN r.n_sorteo IS NULL THEN 'cruce_solo_baloto' WHEN l.n_sorteo IS NULL THEN 'cruce_solo_revancha' ELSE 'cruce_fecha_distinta' END, NULL, 0
+  FROM (SELECT * FROM one WHERE juego = 'baloto') l FULL JOIN (SELECT * FROM one WHERE juego = 'revancha') r ON l.n_sorteo = r.n_sorteo WHERE l.n_sorteo IS NULL OR r.n_sorteo IS NULL OR l.fecha <> r.fecha)
+ SELECT level, "check", juego, count(*) AS n_affected FROM every GROUP BY ALL""")
+def validation_report(s, d):
+    return V.report(_dirty(s, d), calendar(s))
+
+
+# --- forecasts and scores
+
+
+def _baseline(s, d):
+    return H.frequency_baseline(_members(s, d))
+
+
+@query("SELECT juego, t, num, round(p, 9) AS p FROM fb")
+def baseline_frequency(s, d):
+    return _baseline(s, d).select("juego", "t", "num", F.round("p", 9).alias("p"))
+
+
+@query("SELECT juego, t, num, round(5.0::DOUBLE / 43, 9) AS p FROM m")
+def baseline_constant(s, d):
+    return _members(s, d).select("juego", "t", "num", F.round(F.lit(SPEC.p_label), 9).alias("p"))
+
+
+SCORES = """, s AS (SELECT juego, t, avg(-CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END) AS log_loss, avg((p - y) * (p - y)) AS brier, sum(CASE WHEN r <= 5 THEN y ELSE 0 END)::BIGINT AS hits
+  FROM (SELECT *, row_number() OVER (PARTITION BY juego, t ORDER BY round(p, 12) DESC, num) AS r FROM fb WHERE t >= 250) GROUP BY juego, t)
+"""
+
+
+def _scores(s, d):
+    return E.draw_scores(_baseline(s, d).where("t >= 250"))
+
+
+@query(SCORES + "SELECT juego, t, round(log_loss, 9) AS log_loss, round(brier, 9) AS brier, hits FROM s")
+def draw_scores(s, d):
+    return _scores(s, d).select("juego", "t", F.round("log_loss", 9).alias("log_loss"), F.round("brier", 9).alias("brier"), "hits")
+
+
+@query(SCORES + """SELECT juego, count(*) AS n_draws, round(avg(log_loss), 9) AS log_loss, round(1 - avg(log_loss) / -(5.0::DOUBLE / 43 * ln(5.0::DOUBLE / 43) + 38.0::DOUBLE / 43 * ln(38.0::DOUBLE / 43)), 8) AS skill_log_loss,
+  round(avg(brier), 9) AS brier, round(avg(hits), 9) AS hits FROM s GROUP BY juego""")
+def evaluation_summary(s, d):
+    rows = E.summary(_scores(s, d))
+    return rows.select("juego", "n_draws", F.round("log_loss", 9).alias("log_loss"), F.round("skill_log_loss", 8).alias("skill_log_loss"), F.round("brier", 9).alias("brier"), F.round("hits", 9).alias("hits"))
+
+
+@query("""SELECT juego, bin, count(*) AS n, round(avg(p), 9) AS predicted, round(avg(y), 9) AS observed FROM (SELECT *, least(floor(p * 10 * 4), 9)::INTEGER AS bin FROM fb WHERE t >= 250) GROUP BY ALL""")
+def reliability_curve(s, d):
+    rows = E.reliability(_baseline(s, d).where("t >= 250"))
+    return rows.select("juego", "bin", "n", F.round("predicted", 9).alias("predicted"), F.round("observed", 9).alias("observed"))
+
+
+UNIFORM = """, c AS (SELECT juego, num, sum(y)::BIGINT AS seen, count(*) AS n FROM m GROUP BY juego, num)
+SELECT juego, max(n) AS n_draws, round(sum((seen - n * 5.0::DOUBLE / 43) ** 2 / (n * 5.0::DOUBLE / 43)), 6) AS chi2, round(sum((seen - n * 5.0::DOUBLE / 43) ** 2 / (n * 5.0::DOUBLE / 43)) * 42 / 38, 6) AS chi2_corrected,
+  arg_max(num, seen * 100 - num) AS hottest, arg_min(num, seen * 100 + num) AS coldest, round(max(abs(seen - n * 5.0::DOUBLE / 43) / sqrt(n * 5.0::DOUBLE / 43 * 38.0::DOUBLE / 43)), 6) AS max_abs_z FROM c GROUP BY juego"""
+
+
+@query(UNIFORM)
+def uniformity_chi2(s, d):
+    r = E.uniformity(E.label_counts(_daily(s, d)))
+    return r.select("juego", "n_draws", F.round("chi2", 6).alias("chi2"), F.round("chi2_corrected", 6).alias("chi2_corrected"), "hottest", "coldest", F.round("max_abs_z", 6).alias("max_abs_z"))
+
+
+@query("""SELECT juego, round(sum((k - n / 16.0) ** 2 / (n / 16.0)), 6) AS chi2 FROM (SELECT juego, superbalota, count(*) AS k, sum(count(*)) OVER (PARTITION BY juego) AS n FROM d GROUP BY juego, superbalota) GROUP BY juego""")
+def uniformity_super(s, d):
+    g = _daily(s, d).groupBy("juego", "superbalota").agg(F.count("*").alias("k")).withColumn("n", F.sum("k").over(Window.partitionBy("juego")) / 16)
+    return g.groupBy("juego").agg(F.round(F.sum((F.col("k") - F.col("n")) ** 2 / F.col("n")), 6).alias("chi2"))
+
+
+@query("""SELECT count(*) AS n, round(avg(common), 9) AS mean_common, sum(same)::BIGINT AS same_extra FROM (SELECT len(list_intersect(l.balls, r.balls)) AS common, (l.superbalota = r.superbalota)::INTEGER AS same FROM d l JOIN d r ON l.n_sorteo = r.n_sorteo WHERE l.juego = 'baloto' AND r.juego = 'revancha')""")
+def independence_observed(s, d):
+    return common_balls(s, d).agg(F.count("*").alias("n"), F.round(F.avg("common"), 9).alias("mean_common"), F.sum("same_extra").alias("same_extra"))
+
+
+@query("""SELECT juego, n_sorteo, t, md5('42:' || juego || ':' || n_sorteo) AS key FROM dt""")
+def permutation_keys(s, d):
+    return H.indexed(_daily(s, d)).select("juego", "n_sorteo", "t", montecarlo._key(F.lit(42), F.col("juego"), F.col("n_sorteo")).alias("key"))
+
+
+@query("""SELECT x.juego, x.n_sorteo, array_to_string(y.balls, '-') AS balls FROM (SELECT *, row_number() OVER (PARTITION BY juego ORDER BY n_sorteo) AS k FROM d) x
+  JOIN (SELECT *, row_number() OVER (PARTITION BY juego ORDER BY md5('42:' || juego || ':' || n_sorteo)) AS k FROM d) y ON x.juego = y.juego AND x.k = y.k""")
+def permute_draws(s, d):
+    return montecarlo.permuted(_daily(s, d)).select("juego", "n_sorteo", F.array_join("balls", "-").alias("balls"))
+
+
+@query("""SELECT t, string_agg(num::VARCHAR, '-' ORDER BY num) AS balls FROM (SELECT t, num, row_number() OVER (PARTITION BY t ORDER BY md5('42:' || t || ':' || num)) AS r FROM range(0, 500) a(t), range(1, 44) b(num)) WHERE r <= 5 GROUP BY t""")
+def sample_without_replacement(s, d):
+    return montecarlo.sampled_draws(s, 500).select("t", F.array_join("balls", "-").alias("balls"))
+
+
+@query("""SELECT juego, sum(len(list_intersect(balls, [4, 11, 19, 27, 40])))::BIGINT AS hits, max(len(list_intersect(balls, [4, 11, 19, 27, 40])))::INTEGER AS best, sum((superbalota = 7)::INTEGER)::BIGINT AS extra FROM a GROUP BY juego""")
+def backtest(s, d):
+    hit = F.size(F.array_intersect("balls", F.array(*map(F.lit, (4, 11, 19, 27, 40)))))
+    return D.draws_all(s, d).groupBy("juego").agg(F.sum(hit).alias("hits"), F.max(hit).alias("best"), F.sum((F.col("superbalota") == 7).cast("int")).alias("extra"))
+
+
+@query("""SELECT juego, len(list_intersect(balls, [4, 11, 19, 27, 40]))::INTEGER AS hits, (superbalota = 7) AS extra, count(*) AS n FROM a GROUP BY ALL""")
+def prize_categories(s, d):
+    hit = F.size(F.array_intersect("balls", F.array(*map(F.lit, (4, 11, 19, 27, 40)))))
+    return D.draws_all(s, d).groupBy("juego", hit.alias("hits"), (F.col("superbalota") == 7).alias("extra")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_sorteo FROM d WHERE juego = 'baloto' AND (n_sorteo % 50 = 0 OR n_sorteo % 60 = 0)")
+def append_only_violations(s, d):
+    old = _daily(s, d).where("juego = 'baloto'").select("n_sorteo", "superbalota", "b1")
+    new = old.where("n_sorteo % 50 <> 0").withColumn("b1", F.when(F.col("n_sorteo") % 60 == 0, F.col("b1") + 1).otherwise(F.col("b1"))).withColumn("added", F.lit(1))
+    return L.append_only_violations(old, new, "n_sorteo")
+
+
+# --- fitted and simulated: no SQL, tested on their own
+
+
+@query()
+def simulate_ball_counts(s, d):
+    return montecarlo.simulated_chi2(s, 600, 400)
+
+
+@query()
+def logistic_walk_forward(s, d):
+    return E.summary(E.draw_scores(models.walk_forward_logistic(H.features(H.membership(_daily(s, d).where("n_sorteo <= 400"))))))
+
+
+@query()
+def play_score_percentile(s, d):
+    p = _baseline(s, d).where("juego = 'baloto' and t between 250 and 257").groupBy("juego", "t", "n_sorteo").agg(F.sort_array(F.collect_list(F.struct("num", "p"))).alias("s"))
+    scored = p.select("juego", "n_sorteo", F.transform("s", lambda x: F.log(x["p"] / SPEC.p_label)).alias("s_balls"), F.array_repeat(F.lit(0.0), 16).alias("s_extra"))
+    plays = scored.join(_daily(s, d).select("juego", "n_sorteo", "balls", "superbalota"), ["juego", "n_sorteo"])
+    return montecarlo.play_percentile(plays, ["juego", "n_sorteo"])
