@@ -55,18 +55,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def numbered(df: DataFrame, group: str, order: list[Column], name: str, rows_per_part: int = 200_000) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[Column], name: str, rows: int | None = None, rows_per_part: int = 20_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, with no task that holds a whole group.
 
     Rows are dealt by a hash into parts of about ``rows_per_part``; a row's number is its rank in its part
-    plus the rows of the group's earlier parts.  Only the counts by group and part meet in a window.
+    plus the rows of the group's earlier parts.  Only the counts by group and part meet in a window.  ``rows``:
+    how many there are, counted here if not given.
     """
     part, base = free_name(df, "part_no"), free_name(df, "part_base")
-    n_parts = max(1, -(-df.count() // rows_per_part))
+    n_parts = max(1, -(-(df.count() if rows is None else rows) // rows_per_part))
     df = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(n_parts)))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counted = df.groupBy(group, part).count()
     sizes = counted.select(F.col(group).alias("g__"), F.col(part).alias("p__"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
     rank = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1
-    rows = df.withColumn(name, rank).join(sizes, F.col(group).eqNullSafe(F.col("g__")) & (F.col(part) == F.col("p__")))
-    return rows.select(*[c for c in df.columns if c != part], (F.col(name) + F.col(base)).cast("long").alias(name))
+    ranked = df.withColumn(name, rank).join(sizes, F.col(group).eqNullSafe(F.col("g__")) & (F.col(part) == F.col("p__")))
+    return ranked.select(*[c for c in df.columns if c != part], (F.col(name) + F.col(base)).cast("long").alias(name))

@@ -23,19 +23,19 @@ def _bin(*of) -> Column:
     return F.pmod(F.xxhash64(*of), F.lit(BINS)).cast("int")
 
 
-def _shift(rows: DataFrame, shards: int, movable: Column, salt: str, slack: float = 0.0) -> Column | None:
+def _shift(rows: DataFrame, shards: int, movable: Column, salt: str, slack: float) -> Column | None:
     """The shard of each row after bytes have moved from shards above the mean to those below.
 
     ``rows`` has id, size and shard.  Movable rows leave in the order of a hash bin, whole bins only and never
     more than a shard has too much or another has room for.  The driver sees loads and bin ranges by shard.
-    None: there is nothing to move.
+    None: no shard is beyond the mean by more than the slack's share.
     """
     loads = {r["shard"]: r["load"] for r in rows.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
     load = [loads.get(s, 0) for s in range(shards)]
     mean = sum(load) // shards
     spare = {s: load[s] - mean for s in range(shards) if load[s] > mean * (1 + slack)}
     room = {s: mean - load[s] for s in range(shards) if load[s] < mean}
-    plan, shard, at = [], F.col("shard"), 0  # (from, to, first byte, last byte) on the axis of a shard's movable bytes
+    plan, shard = [], F.col("shard")  # (from, to, first byte, last byte) on the axis of a shard's movable bytes
     targets = sorted(room, key=lambda s: -room[s])
     for s in sorted(spare, key=lambda s: -spare[s]):
         done = 0
@@ -52,19 +52,21 @@ def _shift(rows: DataFrame, shards: int, movable: Column, salt: str, slack: floa
     bins = rows.where(able).groupBy("shard", spot.alias("bin")).agg(F.sum("size").alias("bytes"))
     up_to = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bin"))
     ends = bins.select("shard", "bin", up_to.alias("stop"), (up_to - F.col("bytes")).alias("start"))
-    steps = rows.sparkSession.createDataFrame(plan, "s int, t int, lo long, hi long")
-    ranges = ends.join(F.broadcast(steps), (ends["shard"] == steps["s"]) & (F.col("start") >= F.col("lo")) & (F.col("stop") <= F.col("hi")))
+    to = F.lit(None).cast("int")
+    for s, t, lo, hi in plan:
+        to = F.when((shard == s) & (F.col("start") >= lo) & (F.col("stop") <= hi), F.lit(t)).otherwise(to)
+    ranges = ends.withColumn("to", to).where("to is not null").groupBy("shard", "to").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
     out = shard
-    for r in ranges.groupBy("s", "t").agg(F.min("bin").alias("a"), F.max("bin").alias("b")).orderBy("s", "t").collect():
-        out = F.when(able & (shard == r["s"]) & spot.between(r["a"], r["b"]), F.lit(r["t"])).otherwise(out)
+    for r in sorted(ranges.collect(), key=lambda r: (r["shard"], r["to"])):
+        out = F.when(able & (shard == r["shard"]) & spot.between(r["a"], r["b"]), F.lit(r["to"])).otherwise(out)
     return out
 
 
 def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
-    """Cells (text, cell, size, shard) after the rounds."""
+    """Cells (text, cell, size, shard) after the rounds; a round is one join by text and two small collects."""
     for k in range(rounds):
         loads = cells.groupBy("text", "shard").agg(F.sum("size").alias("load"))
-        full = {r["shard"]: quota - r["load"] for r in loads.groupBy("shard").agg(F.sum("load").alias("load")).collect()}
+        full = {r["shard"]: quota - r["load"] for r in cells.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
         free = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, max(0, full.get(s, quota)))])
         spread = loads.groupBy("text").agg(F.collect_list(F.struct("load", (-F.col("shard")).alias("by"))).alias("at")).where(F.size("at") > 1)  # at most one entry a shard
         own = F.aggregate(F.filter("at", lambda x: x["by"] == -F.col("shard")), F.lit(0).cast("long"), lambda acc, x: acc + x["load"])
@@ -79,21 +81,21 @@ def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         asked = settle(asked.withColumn("bin", _bin("text", F.lit(k))).withColumn("part", F.pmod(F.xxhash64("text", "cell", F.lit(k)), F.lit(1 << 20)) / (1 << 20)))
         bins = asked.where("wish is not null").groupBy("wish", "bin").agg(F.sum("size").alias("bytes"))
         stop = F.sum("bytes").over(Window.partitionBy("wish").orderBy("bin"))
-        limit = bins.select("wish", "bin", stop.alias("stop"), "bytes").withColumn("room", free[F.col("wish")])
+        limit = bins.select("wish", "bin", "bytes", (stop - F.col("bytes")).alias("start")).withColumn("left", free[F.col("wish")] - F.col("start"))
         # the bin in which the room ends is admitted in part, by a hash of the cells
-        edge = limit.where("stop > room and stop - bytes < room").select("wish", F.col("bin").alias("edge"), ((F.col("room") - F.col("stop") + F.col("bytes")) / F.col("bytes")).alias("share"))
-        limits = {r["wish"]: (r["edge"], r["share"]) for r in edge.collect()}
-        closed = [r["wish"] for r in limit.groupBy("wish").agg(F.min(F.col("stop") - F.col("bytes") - F.col("room")).alias("m")).where("m >= 0").collect()]
+        edge = F.when((F.col("left") > 0) & (F.col("left") < F.col("bytes")), F.struct("bin", (F.col("left") / F.col("bytes")).alias("share")))
+        limits = limit.groupBy("wish").agg(F.max(edge).alias("edge"), F.max("left").alias("left")).collect()
+        if not any(r["left"] > 0 for r in limits):
+            return cells
         admit = F.lit(True)
-        for s, (at, share) in limits.items():
-            admit = F.when(F.col("wish") == s, (F.col("bin") < at) | ((F.col("bin") == at) & (F.col("part") < share))).otherwise(admit)
-        if closed:
-            admit = admit & ~F.col("wish").isin(closed)
+        for r in limits:
+            if r["left"] <= 0:
+                admit = admit & (F.col("wish") != r["wish"])
+            elif r["edge"]:
+                before = (F.col("bin") < r["edge"]["bin"]) | ((F.col("bin") == r["edge"]["bin"]) & (F.col("part") < r["edge"]["share"]))
+                admit = admit & ((F.col("wish") != r["wish"]) | before)
         go = F.col("wish").isNotNull() & admit
-        moved = asked.where(go).limit(1).count()
         cells = asked.select("text", "cell", "size", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
-        if not moved:
-            break
     return cells
 
 
@@ -112,19 +114,20 @@ def shard(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.sha2(text, 256).alias("text"),
     )
-    cell = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(CELLS))).cast("int")
+    cell = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(CELLS)).cast("int")
     docs = settle(base.withColumn("cell", cell))
-    total = docs.agg(F.sum("size")).first()[0] or 0
+    known = docs.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
+    total = known["size"] or 0
     first = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("first")), F.lit(shards)).cast("int")
     cells = docs.where("text is not null").groupBy("text", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min(first).alias("shard"))
     linked = cells.groupBy("text").agg(F.sum("rows").alias("n")).where("n > 1").select("text")
     cells = settle(cells.join(linked, "text").select("text", "cell", "size", "shard"))
-    labels = settle(_propagate(cells, shards, -(-total // shards), rounds)).select("text", "cell", F.col("shard").alias("label"))
+    labels = _propagate(cells, shards, -(-total // shards), rounds).select("text", "cell", F.col("shard").alias("label"))
     rows = docs.join(labels, ["text", "cell"], "left").select("id", "size", "text_crc32", F.coalesce("label", first).alias("shard"), F.col("label").isNotNull().alias("linked"))
     rows = settle(rows)
-    for k, movable in enumerate((~F.col("linked"), ~F.col("linked"), ~F.col("linked"), F.lit(True), F.lit(True))):
-        to = _shift(rows, shards, movable, f"{seed}:{k}", 0.05 if k > 2 else 0.0)
+    for k, (movable, slack) in enumerate([(~F.col("linked"), 0.001)] * 4 + [(F.lit(True), 0.05)] * 2):
+        to = _shift(rows, shards, movable, f"{seed}:{k}", slack)
         if to is not None:
             rows = settle(rows.withColumn("shard", to))
-    out = numbered(rows, "shard", [F.col("id"), F.col("text_crc32"), F.col("size")], "slot")
+    out = numbered(rows, "shard", [F.col("id"), F.col("text_crc32"), F.col("size")], "slot", known["n"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
