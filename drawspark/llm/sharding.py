@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import numbered, settle
+from .common import let, numbered, settle
 
 CELLS = 256
 BINS = 1 << 16
+#: Rows, of about 100 bytes each, that a partition of the working tables holds; small tables get eight partitions.
+PART_ROWS = 50_000
 
 
 def _bin(*of) -> Column:
@@ -24,11 +26,11 @@ def _bin(*of) -> Column:
 
 
 def _shift(rows: DataFrame, shards: int, movable: Column, salt: str, slack: float) -> Column | None:
-    """The shard of each row after bytes have moved from shards above the mean to those below.
+    """The new shard of each row that goes from a shard above the mean to one below, null for the others.
 
     ``rows`` has id, size and shard.  Movable rows leave in the order of a hash bin, whole bins only and never
     more than a shard has too much or another has room for.  The driver sees loads and bin ranges by shard.
-    None: no shard is beyond the mean by more than the slack's share.
+    None: no shard is beyond the mean by more than the slack's share, or nothing can go.
     """
     loads = {r["shard"]: r["load"] for r in rows.groupBy("shard").agg(F.sum("size").alias("load")).collect()}
     load = [loads.get(s, 0) for s in range(shards)]
@@ -46,23 +48,22 @@ def _shift(rows: DataFrame, shards: int, movable: Column, salt: str, slack: floa
                 done, room[t] = done + n, room[t] - n
     if not plan:
         return None
-    most = F.create_map(*[F.lit(x) for s in spare for x in (s, spare[s])])
-    able = movable & (F.col("size") <= F.coalesce(most[shard], F.lit(0)))
+    most = F.array(*[F.lit(spare.get(s, 0)).cast("long") for s in range(shards)])
+    able = movable & (F.col("size") <= F.get(most, shard))
     spot = _bin("id", F.lit(salt))
     bins = rows.where(able).groupBy("shard", spot.alias("bin")).agg(F.sum("size").alias("bytes"))
     up_to = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bin"))
     ends = bins.select("shard", "bin", up_to.alias("stop"), (up_to - F.col("bytes")).alias("start"))
-    to = F.lit(None).cast("int")
-    for s, t, lo, hi in plan:
-        to = F.when((shard == s) & (F.col("start") >= lo) & (F.col("stop") <= hi), F.lit(t)).otherwise(to)
-    ranges = ends.withColumn("to", to).where("to is not null").groupBy("shard", "to").agg(F.min("bin").alias("a"), F.max("bin").alias("b"))
-    out = shard
-    for r in sorted(ranges.collect(), key=lambda r: (r["shard"], r["to"])):
-        out = F.when(able & (shard == r["shard"]) & spot.between(r["a"], r["b"]), F.lit(r["to"])).otherwise(out)
-    return out
+    steps = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi")) for s, t, lo, hi in plan])
+    step = F.filter(steps, lambda x: (x["s"] == shard) & (F.col("start") >= x["lo"]) & (F.col("stop") <= x["hi"]))
+    ranges = ends.withColumn("to", F.get(step, F.lit(0))["t"]).where("to is not null").groupBy("shard", "to").agg(F.min("bin").alias("a"), F.max("bin").alias("b")).collect()
+    if not ranges:
+        return None
+    moves = F.array(*[F.struct(F.lit(r["shard"]).alias("s"), F.lit(r["to"]).alias("t"), F.lit(r["a"]).alias("a"), F.lit(r["b"]).alias("b")) for r in sorted(ranges)])
+    return F.when(able, F.get(let(spot, lambda bin: F.filter(moves, lambda x: (x["s"] == shard) & bin.between(x["a"], x["b"]))), F.lit(0))["t"])
 
 
-def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFrame:
+def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int, parts: int) -> DataFrame:
     """Cells (text, cell, size, shard) after the rounds; a round is one join by text and two small collects."""
     for k in range(rounds):
         loads = cells.groupBy("text", "shard").agg(F.sum("size").alias("load"))
@@ -78,7 +79,7 @@ def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
             .withColumn("wish", -F.array_max(better)["by"]).drop("own", "at")
             .withColumn("wish", F.when(F.col("wish") != F.col("shard"), F.col("wish")))
         )
-        asked = settle(asked.withColumn("bin", _bin("text", F.lit(k))).withColumn("part", F.pmod(F.xxhash64("text", "cell", F.lit(k)), F.lit(1 << 20)) / (1 << 20)))
+        asked = settle(asked.coalesce(parts).withColumn("bin", _bin("text", F.lit(k))).withColumn("part", F.pmod(F.xxhash64("text", "cell", F.lit(k)), F.lit(1 << 20)) / (1 << 20)))
         bins = asked.where("wish is not null").groupBy("wish", "bin").agg(F.sum("size").alias("bytes"))
         stop = F.sum("bytes").over(Window.partitionBy("wish").orderBy("bin"))
         limit = bins.select("wish", "bin", "bytes", (stop - F.col("bytes")).alias("start")).withColumn("left", free[F.col("wish")] - F.col("start"))
@@ -87,14 +88,9 @@ def _propagate(cells: DataFrame, shards: int, quota: int, rounds: int) -> DataFr
         limits = limit.groupBy("wish").agg(F.max(edge).alias("edge"), F.max("left").alias("left")).collect()
         if not any(r["left"] > 0 for r in limits):
             return cells
-        admit = F.lit(True)
-        for r in limits:
-            if r["left"] <= 0:
-                admit = admit & (F.col("wish") != r["wish"])
-            elif r["edge"]:
-                before = (F.col("bin") < r["edge"]["bin"]) | ((F.col("bin") == r["edge"]["bin"]) & (F.col("part") < r["edge"]["share"]))
-                admit = admit & ((F.col("wish") != r["wish"]) | before)
-        go = F.col("wish").isNotNull() & admit
+        ends = {r["wish"]: (-1, 0.0) if r["left"] <= 0 else r["edge"] or (BINS, 0.0) for r in limits}
+        last, share = (F.get(F.array(*[F.lit(ends.get(s, (BINS, 0.0))[i]) for s in range(shards)]), F.col("wish")) for i in (0, 1))
+        go = F.col("wish").isNotNull() & ((F.col("bin") < last) | ((F.col("bin") == last) & (F.col("part") < share)))
         cells = asked.select("text", "cell", "size", F.when(go, F.col("wish")).otherwise(F.col("shard")).alias("shard"))
     return cells
 
@@ -117,17 +113,17 @@ def shard(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     cell = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(CELLS)).cast("int")
     docs = settle(base.withColumn("cell", cell))
     known = docs.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-    total = known["size"] or 0
+    total, parts = known["size"] or 0, max(8, -(-known["n"] // PART_ROWS))
     first = F.pmod(F.xxhash64("id", F.lit(seed), F.lit("first")), F.lit(shards)).cast("int")
     cells = docs.where("text is not null").groupBy("text", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min(first).alias("shard"))
     linked = cells.groupBy("text").agg(F.sum("rows").alias("n")).where("n > 1").select("text")
-    cells = settle(cells.join(linked, "text").select("text", "cell", "size", "shard"))
-    labels = _propagate(cells, shards, -(-total // shards), rounds).select("text", "cell", F.col("shard").alias("label"))
+    cells = settle(cells.join(linked, "text").select("text", "cell", "size", "shard").coalesce(parts))
+    labels = _propagate(cells, shards, -(-total // shards), rounds, parts).select("text", "cell", F.col("shard").alias("label"))
     rows = docs.join(labels, ["text", "cell"], "left").select("id", "size", "text_crc32", F.coalesce("label", first).alias("shard"), F.col("label").isNotNull().alias("linked"))
-    rows = settle(rows)
+    rows = settle(rows.coalesce(parts))
     for k, (movable, slack) in enumerate([(~F.col("linked"), 0.001)] * 4 + [(F.lit(True), 0.05)] * 2):
         to = _shift(rows, shards, movable, f"{seed}:{k}", slack)
         if to is not None:
-            rows = settle(rows.withColumn("shard", to))
+            rows = settle(rows.withColumn("shard", F.coalesce(to, "shard")))
     out = numbered(rows, "shard", [F.col("id"), F.col("text_crc32"), F.col("size")], "slot", known["n"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
