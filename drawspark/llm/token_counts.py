@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import settle
 from .encoding import encoder, vocabulary
 
 
@@ -28,14 +29,16 @@ def histogram(counted: DataFrame) -> DataFrame:
     return counted.groupBy("n_tokens").agg(F.count("*").alias("docs"))
 
 
-def suffix_sums(hist: DataFrame, block: int = 4096) -> DataFrame:
+def suffix_sums(hist: DataFrame, block: int = 256) -> DataFrame:
     """One row a length L that occurs: what a context limit of L tokens keeps, cuts and reaches.
 
     docs, tokens: of that length; docs_over, tokens_over: of greater lengths; truncated_tokens: all tokens
     if every document is cut at L; whole_docs: documents that fit; docs_total, tokens_total; quantile: the
     share of documents of at most L tokens.  Sums are taken within blocks of lengths, then over blocks, so
-    a window never holds more than ``block`` lengths or the blocks.  An empty table gives no row.
+    a window never holds more than ``block`` lengths or the blocks.  The histogram, small beside the texts, is
+    settled first, so no text is encoded twice.  An empty table gives no row.
     """
+    hist = settle(hist)
     own = hist.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"), F.floor(F.col("n_tokens") / block).alias("block"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
