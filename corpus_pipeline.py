@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawspark.llm import mixing, ngram_join, packing, pii, quality
-from drawspark.llm.common import free_name, settle
+from drawspark.llm.common import free_name, release, settle
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are linked with nothing and stay; of rows that repeat an id one stays.
     """
     joined = ngram_join.join(docs, percent=80, width=5)
-    heads = joined.where("doc_id = component_id").select("doc_id").distinct()
+    heads = settle(joined.where("doc_id = component_id").select("doc_id").distinct())
+    release(spark)  # the join's shuffles go before whole texts are shuffled
     loose = docs.where(F.col("doc_id").isNull())
     return docs.dropDuplicates(["doc_id"]).join(heads, "doc_id", "left_semi").select(docs.columns).unionByName(loose)
 
