@@ -61,4 +61,5 @@ def walk_forward_logistic(features: DataFrame, spec: GameSpec = SPEC, c: float =
             out.append(pd.DataFrame({"juego": rows.juego[test], "t": t[test], "num": rows.num[test], "y": y[test].astype(int), "p": p}))
         return pd.concat(out) if out else pd.DataFrame(columns=["juego", "t", "num", "y", "p"])
 
-    return features.where(F.col("y").isNotNull()).groupBy("juego", "num").applyInPandas(fit, "juego string, t long, num int, y int, p double")
+    apart = features.where(F.col("y").isNotNull()).repartition(spec.labels * len(spec.games), "juego", "num")  # few bytes, much work: not to be coalesced
+    return apart.groupBy("juego", "num").applyInPandas(fit, "juego string, t long, num int, y int, p double")

@@ -469,7 +469,7 @@ def simulate_ball_counts(s, d):
 
 @query()
 def logistic_walk_forward(s, d):
-    return E.summary(E.draw_scores(models.walk_forward_logistic(H.features(H.membership(_daily(s, d).where("n_sorteo <= 400"))))))
+    return E.summary(E.draw_scores(models.walk_forward_logistic(H.features(_members(s, d)))))
 
 
 @query()
