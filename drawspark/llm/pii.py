@@ -19,13 +19,20 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban_groups": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",
+    "day": "(?<![0-9./-])(?:" + "|".join(f"[0-9]{{4}}{s}[0-9]{{1,2}}{s}[0-9]{{1,2}}|[0-9]{{1,2}}{s}[0-9]{{1,2}}{s}[0-9]{{4}}" for s in ("-", "/", r"\.")) + ")(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    # a whole run of groups; one that starts an address, a dotted or slashed number or an email stays out
+    "card": r"(?<![0-9-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -](?![0-9]{1,3}\.[0-9]{1,3}\.[0-9]|[0-9]{1,2}/[0-9]|[0-9]{4}/[0-9]{1,2}/[0-9]|[A-Za-z0-9._%+-]++@)[0-9]++)*+",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
+#: What may stand beside a card in a run of digits, or behind an IBAN in groups.
+BESIDE = "|".join(PATTERNS[k] for k in ("date", "day", "ssn", "phone"))
+#: Sizes of the groups that cards are printed in.
+GROUPINGS = ["4,4,4,4", "4,6,5", "4,6,4", "4,4,4,4,3", "4,4,5", "4,4,4,1"]
 
 
 def _chars(text: Column) -> Column:
@@ -107,12 +114,69 @@ def _refill(shape: Column, symbols: Column) -> Column:
     return F.aggregate(_chars(shape), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), put, lambda a: a["out"])
 
 
-def _card(m: Column, key: str) -> Column:
+def _replaced(text: Column, pattern: str, by) -> Column:
+    """``text`` with every finding of the pattern replaced by ``by`` of it."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), by)
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), found, lambda part, x: F.concat(part, F.coalesce(x, F.lit("")))), "")
+
+
+def _beside(text: Column, key: str) -> Column:
+    def one(m: Column) -> Column:
+        kind = _kind(m)
+        return F.when(kind == "date", _date(m, key)).when(kind == "ssn", _number(m, key, "ssn")).when(kind == "phone", _phone(m, key)).otherwise(m)
+
+    return F.when(F.length(text) < 8, text).otherwise(_replaced(text, BESIDE, one))
+
+
+def _one_card(m: Column, key: str) -> Column:
     def done(d: Column) -> Column:
         body = permute_text(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         return let(body, lambda b: _refill(m, F.concat(b, ((10 - _luhn(b, F.lit(1)) % 10) % 10).cast("string"))))
 
-    return let(_digits(m), lambda d: F.when(_luhn(d, F.lit(0)) % 10 == 0, done(d)).otherwise(m))
+    return let(_digits(m), done)
+
+
+def _card(m: Column, key: str) -> Column:
+    """The cards of a run of digit groups replaced, and what stands beside them taken as other kinds.
+
+    Candidates are stretches of whole groups with 13 to 19 digits and a right Luhn sum; a group of 13 or more digits
+    stands alone.  Printed groupings go first, then the leftmost; those that overlap a chosen one are left.
+    """
+
+    def candidates(groups: Column) -> Column:
+        def ends(i: Column) -> Column:
+            def made(j: Column) -> Column:
+                part = F.slice(groups, i + 1, j - i + 1)
+                sizes = F.array_join(F.transform(part, lambda g: F.length(g).cast("string")), ",")
+                usual = (i == j) | sizes.isin(GROUPINGS)
+                alone = (i == j) | F.forall(part, lambda g: F.length(g) < 13)
+                return F.struct((~usual).cast("int").alias("rank"), i.alias("i"), j.alias("j"), F.array_join(part, "").alias("d"), alone.alias("alone"))
+
+            return F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), made)
+
+        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), ends))
+        fit = F.filter(every, lambda c: c["alone"] & F.length(c["d"]).between(13, 19))
+        return F.array_sort(F.filter(fit, lambda c: _luhn(c["d"], F.lit(0)) % 10 == 0))
+
+    def chosen(cands: Column) -> Column:
+        none = F.filter(cands, lambda c: F.lit(False))
+        return F.aggregate(cands, none, lambda acc, c: F.when(F.exists(acc, lambda o: (o["i"] <= c["j"]) & (c["i"] <= o["j"])), acc).otherwise(F.concat(acc, F.array(c))))
+
+    def rebuilt(groups: Column) -> Column:
+        def at(k: Column) -> Column:  # separators are single characters
+            return F.aggregate(F.slice(groups, F.lit(1), k), F.lit(1), lambda a, g: a + F.length(g) + 1)
+
+        def put(acc: Column, c: Column) -> Column:
+            start, end = at(c["i"]), at(c["j"] + 1) - 1
+            before = F.substring(m, acc["at"], start - acc["at"])
+            return F.struct(F.concat(acc["out"], _beside(before, key), _one_card(F.substring(m, start, end - start), key)).alias("out"), end.alias("at"))
+
+        cards = F.array_sort(F.transform(chosen(candidates(groups)), lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"))))
+        begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+        return F.aggregate(cards, begin, put, lambda a: F.concat(a["out"], _beside(F.substring(m, a["at"], F.length(m)), key)))
+
+    whole = let(_digits(m), lambda d: F.length(d).between(13, 19) & (_luhn(d, F.lit(0)) % 10 == 0) & ~m.rlike("[ -][0-9]{13}|[0-9]{13,}[ -]"))
+    return F.when(whole & ~m.rlike("^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}[ -]"), _one_card(m, key)).otherwise(let(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), rebuilt))
 
 
 def _mod97(text: Column) -> Column:
@@ -125,7 +189,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), add)
 
 
-def _iban(m: Column, key: str) -> Column:
+def _plain_iban(m: Column, key: str) -> Column:
     country, body = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
     valid = _mod97(F.concat(body, F.substring(m, 1, 4))) == 1
 
@@ -136,6 +200,23 @@ def _iban(m: Column, key: str) -> Column:
     return F.when(valid, let(permute_text(body, key, "iban"), done)).otherwise(m)
 
 
+def _iban(m: Column, key: str) -> Column:
+    """In one piece or in groups of four; of groups the longest valid stretch from the first one on counts."""
+
+    def longest(groups: Column) -> Column:
+        compact = lambda k: F.array_join(F.slice(groups, F.lit(1), k), "")
+        ok = F.filter(F.sequence(F.size(groups), F.lit(3)), lambda k: F.length(compact(k)).between(15, 34) & (_mod97(F.concat(F.substring(compact(k), F.lit(5), F.lit(30)), F.substring(compact(k), 1, 4))) == 1))
+
+        def spaced(k: Column) -> Column:
+            new = _plain_iban(compact(k), key)
+            four = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.substring(new, i * 4 + 1, F.lit(4)))
+            return F.concat(F.array_join(four, " "), _beside(F.substring(m, F.length(compact(k)) + k, F.length(m)), key))
+
+        return let(F.get(ok, F.lit(0)), lambda k: F.when(k.isNull(), m).otherwise(spaced(k)))
+
+    return F.when(m.contains(" "), let(F.split(m, " "), longest)).otherwise(_plain_iban(m, key))
+
+
 def _ip(m: Column, key: str) -> Column:
     def done(o: Column) -> Column:
         number = permute_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, 65536, key, "ip")
@@ -145,11 +226,27 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """The 146,097 days (189 * 773) of a cycle of 400 years from 1800 on are permuted."""
-    day = F.try_to_date(m, "yyyy-MM-dd")
-    number = F.datediff(day, F.lit("1800-01-01").cast("date"))
-    moved = F.date_add(F.lit("1800-01-01").cast("date"), permute_number(number, 189, 773, key, "date").cast("int"))
-    return F.when(number.between(0, 146096) & (F.date_format(day, "yyyy-MM-dd") == m), F.date_format(moved, "yyyy-MM-dd")).otherwise(m)
+    """The 146,097 days (189 * 773) of a cycle of 400 years from 1800 on are permuted; order and separator stay.
+
+    With the year last the day comes first where that is a date, otherwise the month.
+    """
+    sep, parts = F.regexp_extract(m, "[-/.]", 0), F.split(m, "[-/.]")
+
+    def taken(p: Column) -> Column:
+        two = lambda x: F.lpad(x, 2, "0")
+        read = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, two(mo), two(d)), "yyyy-MM-dd")
+        days = F.array(F.when(F.length(p[0]) == 4, read(p[0], p[1], p[2])), F.when(F.length(p[0]) < 4, read(p[2], p[1], p[0])), F.when(F.length(p[0]) < 4, read(p[2], p[0], p[1])))
+        orders = F.array(F.lit("yyyy-MM-dd"), F.lit("dd-MM-yyyy"), F.lit("MM-dd-yyyy"))
+        zero = F.lit("1800-01-01").cast("date")
+
+        def out(x: Column) -> Column:
+            moved = F.date_add(zero, permute_number(F.datediff(x["day"], zero), 189, 773, key, "date").cast("int"))
+            return F.replace(F.call_function("date_format", moved, x["order"]), F.lit("-"), sep)
+
+        read_as = F.filter(F.zip_with(days, orders, lambda d, o: F.struct(d.alias("day"), o.alias("order"))), lambda x: F.datediff(x["day"], zero).between(0, 146096))
+        return F.coalesce(F.get(F.transform(F.slice(read_as, 1, 1), out), F.lit(0)), m)
+
+    return let(parts, taken)
 
 
 def _number(m: Column, key: str, kind: str, keep: int = 0) -> Column:
@@ -177,7 +274,7 @@ def _kind(m: Column) -> Column:
         F.when(m.contains("@"), "email")
         .when(m.rlike("^AKIA[A-Z0-9]{16}$"), "secret")
         .when(m.rlike("^[A-Z]"), "iban")
-        .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), "date")
+        .when(m.rlike("^(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})$"), "date")
         .when(m.rlike(r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$"), "ip")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(F.length(_digits(m)) >= 13, "card")
@@ -203,9 +300,10 @@ def pseudonymise(documents: DataFrame, text_col: str = "text", key: str = "draws
     """Every column as before, the text with its personal data replaced.
 
     ``found_col`` (renamed by underscores if the table has such a column; None: left out) counts the values
-    that changed.  Values that fail their check stay.  Null texts stay null, empty ones empty, with no
+    that changed, all of a run of digit groups as one.  Values that fail their check stay.  Null texts stay null, empty ones empty, with no
     findings; the length of a text never changes but for an IPv4 address, whose octets may gain or lose
-    digits.  Rows are taken alone: repeated rows and an empty table need no rule of their own.
+    digits, and a date with a day or month of one digit, which gets two.  Day-first and month-first dates share
+    the permutation of days, so two texts of different order may meet.  Dates with month names are not found.  Rows are taken alone: repeated rows and an empty table need no rule of their own.
     """
     text = F.col(f"`{text_col}`")
     names = documents.columns
@@ -223,7 +321,7 @@ def pseudonymise(documents: DataFrame, text_col: str = "text", key: str = "draws
 
     hits = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     plain = F.struct(text.alias("t"), F.lit(0).alias("n"))
-    made = F.when(text.rlike(r"@|[0-9]{3}|[0-9]\.[0-9]|AKIA"), let(hits, lambda h: F.when(F.size(h) > 0, rebuilt(h)).otherwise(plain))).otherwise(plain)
+    made = F.when(text.rlike(r"@|[0-9]{3}|[0-9]\.[0-9]|AKIA|[A-Z]{2}[0-9]{2} "), let(hits, lambda h: F.when(F.size(h) > 0, rebuilt(h)).otherwise(plain))).otherwise(plain)
     out = documents.select("*", F.array(made).alias(both)).select(*[F.col(f"`{c}`") for c in names], F.explode(both).alias(both))
     kept = [F.col(both)["t"].alias(c) if c == text_col else F.col(f"`{c}`") for c in names]
     return out.select(*kept, *([F.col(both)["n"].alias(found)] if found else []))
