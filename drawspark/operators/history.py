@@ -64,9 +64,15 @@ def features(members: DataFrame, spec: GameSpec = SPEC) -> DataFrame:
     )
 
 
-def frequency_baseline(members: DataFrame, a: float = 10.0, spec: GameSpec = SPEC) -> DataFrame:
-    """(count before t + a p0) / (t + a)."""
-    return members.withColumn("p", (past_count() + a * spec.p_label) / (F.col("t") + a))
+def extra_membership(draws: DataFrame, spec: GameSpec = SPEC) -> DataFrame:
+    """As membership, for the extra label: one of 1..extras a draw."""
+    each = indexed(draws).withColumn("num", F.explode(F.sequence(F.lit(1), F.lit(spec.extras))))
+    return each.select("juego", "t", "n_sorteo", "fecha", "num", (F.col("superbalota") == F.col("num")).cast("int").alias("y"))
+
+
+def frequency_baseline(members: DataFrame, a: float = 10.0, spec: GameSpec = SPEC, p0: float | None = None) -> DataFrame:
+    """(count before t + a p0) / (t + a); p0 is the chance of a ball if not given."""
+    return members.withColumn("p", (past_count() + a * (spec.p_label if p0 is None else p0)) / (F.col("t") + a))
 
 
 def leaky_frequency(members: DataFrame, w: int = 10) -> DataFrame:

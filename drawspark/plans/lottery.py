@@ -472,9 +472,14 @@ def logistic_walk_forward(s, d):
     return E.summary(E.draw_scores(models.walk_forward_logistic(H.features(_members(s, d)))))
 
 
+def _log_ratios(forecast: DataFrame, p0: float, name: str) -> DataFrame:
+    p = forecast.where("t >= 250").groupBy("juego", "n_sorteo").agg(F.sort_array(F.collect_list(F.struct("num", "p"))).alias("s"))
+    return p.select("juego", "n_sorteo", F.transform("s", lambda x: F.log(x["p"] / p0)).alias(name))
+
+
 @query()
 def play_score_percentile(s, d):
-    p = _baseline(s, d).where("juego = 'baloto' and t between 250 and 257").groupBy("juego", "t", "n_sorteo").agg(F.sort_array(F.collect_list(F.struct("num", "p"))).alias("s"))
-    scored = p.select("juego", "n_sorteo", F.transform("s", lambda x: F.log(x["p"] / SPEC.p_label)).alias("s_balls"), F.array_repeat(F.lit(0.0), 16).alias("s_extra"))
-    plays = scored.join(_daily(s, d).select("juego", "n_sorteo", "balls", "superbalota"), ["juego", "n_sorteo"])
-    return montecarlo.play_percentile(plays, ["juego", "n_sorteo"])
+    balls = _log_ratios(_baseline(s, d), SPEC.p_label, "s_balls")
+    extra = _log_ratios(H.frequency_baseline(H.extra_membership(_daily(s, d)), p0=SPEC.p_extra), SPEC.p_extra, "s_extra")
+    plays = balls.join(extra, ["juego", "n_sorteo"]).join(_daily(s, d).select("juego", "n_sorteo", "balls", "superbalota"), ["juego", "n_sorteo"])
+    return montecarlo.play_percentile(plays.repartition(64, "juego", "n_sorteo"), ["juego", "n_sorteo"])  # few bytes, much work

@@ -13,3 +13,17 @@ def _draws(spark, sf):
 def test_logistic_forecasts_every_draw(spark, sf):
     got = {r["juego"]: r["n_draws"] for r in RUN["logistic_walk_forward"](spark, sf).collect()}
     assert got == {g: n - FIRST for g, n in _draws(spark, sf).items()}
+
+
+def test_every_draw_has_a_percentile(spark, sf):
+    import math
+
+    rows = RUN["play_score_percentile"](spark, sf).collect()
+    assert {(r["juego"], r["n_sorteo"]) for r in rows} == {(g, n) for g, last in _draws(spark, sf).items() for n in range(FIRST + 1, last + 1)}
+    past = {r["n_sorteo"]: r for r in lottery._daily(spark, sf).where("juego = 'revancha'").collect()}
+    score = {r["n_sorteo"]: r["score"] for r in rows if r["juego"] == "revancha"}
+    n, own = 300, past[300]
+    seen = lambda hit: sum(hit(past[k]) for k in range(1, n))
+    ratio = lambda k, p: math.log((k + 10 * p) / (n - 1 + 10) / p)
+    want = sum(ratio(seen(lambda r: b in r["balls"]), 5 / 43) for b in own["balls"]) + ratio(seen(lambda r: r["superbalota"] == own["superbalota"]), 1 / 16)
+    assert abs(score[n] - want) < 1e-9
