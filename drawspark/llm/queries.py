@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing, ngram_join, packing, pii, quality, sharding, token_counts, topk, toxicity, warc
-from .common import table
+from .common import free_name, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_pseudonyms")
+    documents = table(spark, sf_dir, "documents")
+    found = free_name(documents, "n_pseudonyms")
+    return pii.pseudonymise(documents, found_col=found).select("doc_id", "text", F.col(found).alias("n_pseudonyms"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
