@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
+import uuid
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,33 +14,70 @@ from pyspark.sql.window import Window
 #: What separates words: a space and the ASCII control characters from tab to carriage return.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
+#: Spark's own switch for dropping a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a checkpoint in the shared folder ``spark.checkpoint.dir``.
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="settled-")
+
+
+def settled_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the checkpoint folder set on the context.
 
-    A folder of this process is set only where the session names none, as in tests.
+    A session that names neither gets a folder of this machine if it runs on this machine alone; on a cluster that
+    is an error, as files in a machine's own folder are lost with it.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = _local_folder()
+    return named.rstrip("/")
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries that run inside leave no shuffle files behind."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files that no plan refers to any more.
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: write it as a table in the shared folder and read that instead.
 
-    Spark deletes them when the driver's garbage is collected, which would wait for chance; to be called after a
-    large step whose result is settled.
+    The shuffle files of the query that makes it go when it is written; ``drop`` deletes the table.
     """
-    for _ in range(2):  # the first collection ends the frames, the second what these held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    spark = df.sparkSession
+    path = f"{settled_folder(spark)}/settled-{uuid.uuid4().hex}"
+    with tidy(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._settled_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -59,15 +97,17 @@ def numbered(df: DataFrame, group: str, order: list[Column], name: str, rows: in
     """Number the rows of each group from 0 without gaps, with no task that holds a whole group.
 
     Rows are dealt by a hash into parts of about ``rows_per_part``; a row's number is its rank in its part
-    plus the rows of the group's earlier parts.  Only the counts by group and part meet in a window.  ``rows``:
-    how many there are, counted here if not given.
+    plus the rows of the group's earlier parts.  Only the counts by group and part meet in a window.  Rows that are
+    equal in ``order`` are told apart by the task that read them, so one row repeated without end is dealt as well;
+    the parts are settled, so they stay.  ``rows``: how many there are, counted here if not given.
     """
     part, base = free_name(df, "part_no"), free_name(df, "part_base")
     n_parts = max(1, -(-(df.count() if rows is None else rows) // rows_per_part))
-    df = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(n_parts)))
+    own = df.columns
+    df = settle(df.withColumn(part, F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(n_parts))))
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counted = df.groupBy(group, part).count()
     sizes = counted.select(F.col(group).alias("g__"), F.col(part).alias("p__"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias(base))
     rank = F.row_number().over(Window.partitionBy(group, part).orderBy(*order)) - 1
     ranked = df.withColumn(name, rank).join(sizes, F.col(group).eqNullSafe(F.col("g__")) & (F.col(part) == F.col("p__")))
-    return ranked.select(*[c for c in df.columns if c != part], (F.col(name) + F.col(base)).cast("long").alias(name))
+    return ranked.select(*own, (F.col(name) + F.col(base)).cast("long").alias(name))
