@@ -2,8 +2,8 @@
 
 1. Targets: the weights' shares of the wanted total, none above ``most`` times its source's size.
 2. The blocks go to sources by the highest quotients target / (2 k + 1), no source beyond ``most`` copies.
-3. Each source's blocks go to its shards by the highest quotients of the shards' sizes, so a shard gets an
-   integer quota and can be drawn alone.
+3. Each source's blocks go to its shards by the highest quotients of the shards' sizes, in two steps (groups of
+   shards, then the shards of a group), so a shard gets an integer quota and can be drawn alone.
 4. A shard's documents, in seeded order, are one stream of words, cut into equal blocks; a systematic draw
    with a seeded start takes the quota.  A document takes what its stretch of the stream has of those blocks.
 """
@@ -12,15 +12,21 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, settle
+from .common import WORD, free_name, settle, tidy
+from .components import spread_join
 
+#: A shard holds about so many words or documents of one source, whichever makes it smaller.
 SHARD_WORDS = 1 << 21
-MOST_SHARDS = 1 << 16
+SHARD_ROWS = 2000
+#: Shards of a source whose quotas one task works out; a source may have the square of it.
+GROUP_SHARDS = 4096
 BLOCK_WORDS = 64
+#: Sources up to which their figures are broadcast; beyond it they are joined with hot sources dealt out.
+BROADCAST_SOURCES = 100_000
 
 
 def sainte_lague(weights, seats: int, caps) -> np.ndarray:
@@ -62,52 +68,71 @@ def capped_targets(sizes, weights, total: float, most: float) -> np.ndarray:
     return target
 
 
-def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
-    """One row a document: id, source, size, its source's size and target, and the words that the mix takes.
+def whole_copies(sizes, wanted: int, most: int) -> np.ndarray:
+    """How often to take each of some whole documents so that their sizes add up to nearly ``wanted``.
 
-    Null and empty texts have size 0 and take 0; a null source is a source of its own, the last.  Sources
-    without words have target 0.  Repeated rows are rows of their own.  An empty table gives an empty
-    result.  Figures of the sources come to the driver (a catalogue, not data: some 100 bytes a source);
-    figures by source and shard, of at most 65,536 shards, are spread out by source.
+    From the largest down, each document is taken as often as brings the sum nearest to its share so far; what one
+    is off the next ones make up for, so the sum is off by no more than the smallest document once all have been.
     """
-    kind = documents.schema[id_col].dataType.simpleString()
-    text = F.col(text_col)
-    narrow = documents.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    narrow = settle(narrow.withColumn("draw", F.xxhash64("id", F.lit(seed))))
-    sources = narrow.groupBy("source").agg(F.sum("size").alias("size")).toPandas()
+    sizes = np.asarray(sizes, np.int64)
+    total, out = int(sizes.sum()), np.zeros(len(sizes), np.int64)
+    due = have = 0
+    for i in np.argsort(-sizes, kind="stable"):
+        n = int(sizes[i])
+        if n == 0:
+            continue
+        due += n
+        # the nearest whole number of copies to (due * wanted / total - have) / n
+        out[i] = min(most, max(0, (2 * (due * wanted - have * total) + n * total) // (2 * n * total)))
+        have += int(out[i]) * n
+    return out
+
+
+def _drawn(narrow: DataFrame, weights, share: float, most: int, seed: int) -> DataFrame:
+    """``narrow`` (id, source, size, …) with draw, source_size, target, shard and taken."""
+    spark = narrow.sparkSession
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
+    narrow = settle(narrow.withColumn("draw", F.xxhash64("id", F.lit(seed))).withColumn("key", key))
+    with tidy(spark):
+        sources = narrow.groupBy("key", "source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).toPandas()
     sources["last"] = sources.source.isna()
     sources["at"] = sources.source.map(lambda x: x.encode("utf-32-be") if isinstance(x, str) else b"")
     sources = sources.sort_values(["last", "at"]).reset_index(drop=True)
     total = int(sources["size"].sum())
     sources["weight"] = [weights[i % len(weights)] for i in range(len(sources))]
     sources["target"] = capped_targets(sources["size"], sources.weight, share * total, most)
-    n_shards = min(MOST_SHARDS, max(1, -(-total // SHARD_WORDS)))
+    sources["shards"] = np.maximum(1, np.maximum(-(-sources["size"] // SHARD_WORDS), -(-sources["rows"] // SHARD_ROWS))).astype(np.int64)
     least = sources.target[sources.target > 0].min() if total else 0
     block = max(1, min(BLOCK_WORDS, int(least) // 512))
     blocks = np.maximum(1, np.round(sources["size"] / block)).astype(np.int64)
-    sources["quota"] = sainte_lague(sources.target, round(sources.target.sum() / block), most * blocks + n_shards * most)
-    facts = documents.sparkSession.createDataFrame(
-        [(r.source if isinstance(r.source, str) else None, int(r.size_), float(r.target), int(r.quota)) for r in sources.rename(columns={"size": "size_"}).itertuples()],
-        "source string, source_size long, target double, quota long",
+    sources["quota"] = sainte_lague(sources.target, round(sources.target.sum() / block), most * blocks + sources.shards * most)
+    facts = spark.createDataFrame(
+        [(r.key, int(r.size_), float(r.target), int(r.quota), int(r.shards)) for r in sources.rename(columns={"size": "size_"}).itertuples()],
+        "of string, source_size long, target double, quota long, shards long",
     )
-    narrow = narrow.withColumn("shard", F.pmod(F.xxhash64("draw"), F.lit(n_shards)))
-
-    def per_shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("shard")
-        n = np.where(rows["words"] > 0, np.maximum(1, np.round(rows["words"] / block)), 0).astype(np.int64)
-        got = sainte_lague(rows["words"], int(rows.quota.iloc[0]), most * n)
-        return pd.DataFrame({"name": rows.source, "shard": rows.shard, "words": rows["words"], "blocks": n, "taken_blocks": got, "all_size": rows.source_size, "target": rows.target})
-
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    parts = narrow.groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    joined = parts.join(facts, same(parts, facts)).select(parts["source"], "shard", "words", "source_size", "target", "quota")
-    quotas = joined.groupBy("source").applyInPandas(per_shard, "name string, shard long, words long, blocks long, taken_blocks long, all_size long, target double")
-    order = Window.partitionBy("source", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("place", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    rows = placed.join(quotas, placed["source"].eqNullSafe(quotas["name"]) & (placed["shard"] == quotas["shard"])).select(
-        "id", placed["source"], "size", "place", placed["shard"], "words", "blocks", "taken_blocks", "all_size", "target"
-    )
-    rows = rows.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1)))).otherwise(F.lit(0)))
+    known = narrow.join(F.broadcast(facts), F.col("key") == F.col("of")) if len(sources) <= BROADCAST_SOURCES else spread_join(narrow, "key", facts, "of")
+    rows = known.drop("of").withColumn("shard", F.pmod(F.xxhash64("draw"), F.col("shards"))).withColumn("pool", F.floor(F.col("shard") / GROUP_SHARDS))
+    n = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / block))).otherwise(0).cast("long")
+    parts = rows.groupBy("key", "pool", "shard").agg(F.sum("size").alias("words"), F.first("quota").alias("quota")).withColumn("blocks", n)
+
+    def shared(name: str, by: list[str]):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(by)
+            got = sainte_lague(rows["words"], int(rows["quota"].iloc[0]), most * rows["blocks"])
+            return pd.DataFrame({c: rows[c] for c in ["key", *by, "words", "blocks"]} | {name: got})
+
+        return run
+
+    pools = parts.groupBy("key", "pool").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"), F.first("quota").alias("quota"))
+    pools = pools.groupBy("key").applyInPandas(shared("own", ["pool"]), "key string, pool long, words long, blocks long, own long")
+    own = pools.select(F.col("key").alias("k"), F.col("pool").alias("p"), F.col("own").alias("quota"))
+    shards = parts.drop("quota").join(own, (F.col("key") == F.col("k")) & (F.col("pool") == F.col("p")))
+    quotas = shards.groupBy("key", "pool").applyInPandas(shared("taken_blocks", ["pool", "shard"]), "key string, pool long, shard long, words long, blocks long, taken_blocks long")
+    quotas = quotas.select(F.col("key").alias("k"), F.col("shard").alias("s"), "words", "blocks", "taken_blocks")
+    order = Window.partitionBy("key", "shard").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("place", F.coalesce(F.sum("size").over(order), F.lit(0)))
+    out = placed.join(quotas, (F.col("key") == F.col("k")) & (F.col("shard") == F.col("s")))
+    out = out.withColumn("start", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64("key", "shard", F.lit(seed)), F.greatest("blocks", F.lit(1)))).otherwise(F.lit(0)))
     # block i is the stretch of words whose place p has p * blocks div words = i; the draw takes
     # floor((i + 1 + start) q / n) - floor((i + start) q / n) copies of it
     taken = F.expr(
@@ -116,4 +141,48 @@ def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int =
           + ((((i + 1 + start) * taken_blocks) div blocks) - (((i + start) * taken_blocks) div blocks))
           * (least(place + size, ((i + 1) * words + blocks - 1) div blocks) - greatest(place, (i * words + blocks - 1) div blocks))) END"""
     )
-    return rows.select(F.col("id").cast(kind).alias(id_col), F.col("source").alias(source_col), "size", F.col("all_size").alias("source_size"), "target", taken.cast("long").alias("taken"))
+    return out.withColumn("taken", taken.cast("long"))
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
+    """One row a document: id, source, size, its source's size and target, and the words that the mix takes.
+
+    Null and empty texts have size 0 and take 0; a null source is a source of its own, the last.  Sources
+    without words have target 0.  Repeated rows are rows of their own; a text of any length counts whole and may be
+    taken in part.  Rows without an id take part, as if they shared one.  An empty table gives an empty result.
+    Figures of the sources come to the driver (a catalogue, not data: some 100 bytes a source); figures by source and
+    shard are spread out.
+    """
+    narrow = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), _size(F.col(f"`{text_col}`")).alias("size"))
+    rows = _drawn(narrow, weights, share, most, seed)
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken")
+
+
+def mixed(documents: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 11) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with their own columns only.
+
+    Every shard takes the words that ``mix`` takes of it, in whole documents (``whole_copies``).  Documents without
+    words are not taken.  Rows that are equal in id, text and source are taken together, so an id may be missing or
+    repeated.  An empty table gives an empty result.
+    """
+    key, times = free_name(documents, "row_key"), free_name(documents, "times")
+    same = F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{source_col}`").cast("string"), F.col(f"`{source_col}`").isNull())
+    narrow = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), _size(F.col(f"`{text_col}`")).alias("size"), same.alias("same"))
+    drawn = _drawn(narrow, weights, share, most, seed).select(F.col("id").cast("string").alias("id"), "same", "key", "shard", "size", "taken")
+
+    def whole(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "same"], ascending=False, kind="stable")
+        return pd.DataFrame({"id": rows["id"], "same": rows["same"], "n": whole_copies(rows["size"], int(rows["taken"].sum()), most)})
+
+    kind = narrow.schema["id"].dataType.simpleString()
+    copies = drawn.groupBy("key", "shard").applyInPandas(whole, "id string, same long, n long").groupBy(F.col("id").cast(kind).alias("id"), "same").agg(F.sum("n").alias(times)).where(F.col(times) > 0)
+    copies = settle(copies).withColumnRenamed("id", free_name(documents, "copy_id")).withColumnRenamed("same", free_name(documents, "copy_key"))
+    at, of, _ = copies.columns
+    joined = documents.withColumn(key, same).join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col(at)) & (F.col(key) == F.col(of)))
+    one = joined.dropDuplicates([id_col, key])
+    repeat = free_name(documents, "repeat")
+    return one.withColumn(repeat, F.explode(F.array_repeat(F.lit(1), F.col(times).cast("int")))).select(*[F.col(f"`{c}`") for c in documents.columns])
