@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawspark.llm import mixing, ngram_join, packing, pii, quality
-from drawspark.llm.common import free_name, release, settle
+from drawspark.llm.common import settle
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,15 +19,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: five-word shingles, 80 % or more.
-
-    Documents without words are linked with nothing and stay; of rows that repeat an id one stays.
-    """
-    joined = ngram_join.join(docs, percent=80, width=5)
-    heads = settle(joined.where("doc_id = component_id").select("doc_id").distinct())
-    release(spark)  # the join's shuffles go before whole texts are shuffled
-    loose = docs.where(F.col("doc_id").isNull())
-    return docs.dropDuplicates(["doc_id"]).join(heads, "doc_id", "left_semi").select(docs.columns).unionByName(loose)
+    """One document of each group of near duplicates, five-word shingles, 80 % or more: see ``ngram_join.distinct``."""
+    return ngram_join.distinct(docs, percent=80, width=5)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +30,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes its words: taken / size copies, a seeded draw deciding the rest."""
-    taken = mixing.mix(docs)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) / (1 << 20))).otherwise(F.lit(0)).cast("int")
-    wanted = taken.groupBy("doc_id").agg(F.max(copies).alias("copies")).where("copies > 0")
-    repeat = free_name(docs, "copy")
-    out = docs.join(wanted, "doc_id").withColumn(repeat, F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-    return out.select(docs.columns)
+    """Each document as often as the mixture takes it, in whole documents: see ``mixing.mixed``."""
+    return mixing.mixed(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
