@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ RAW = ["Date", "C1", "C2", "C3", "C4", "C5", "SB", "#Sorteo"]
 
 # Spanish month names as they stand in the history files.
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
+MONTH_ALIAS = ("setiembre", "septiembre")
+WEEKDAYS = ["lunes", "martes", "miércoles", "jueves", "viernes", "sábado", "domingo"]
+PLAIN_WEEKDAYS = ["lunes", "martes", "miercoles", "jueves", "viernes", "sabado", "domingo"]
 
 
 def empty_draws(spark: SparkSession) -> DataFrame:
@@ -31,13 +34,20 @@ def strip_accents(c: Column) -> Column:
 
 
 def parse_spanish_date(text: Column) -> Column:
-    """``23 de Mayo de 2026`` in any case and spacing; null where it is no date."""
-    parts = r"^\s*(\d{1,2})\s+de\s+([a-z]+)\s+de\s+(\d{4})\s*$"
-    plain = strip_accents(F.lower(text))
-    name = F.regexp_extract(plain, parts, 2)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(name == "setiembre", "septiembre").otherwise(name))
-    iso = F.concat_ws("-", F.regexp_extract(plain, parts, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(plain, parts, 1), 2, "0"))
-    return F.when(month > 0, F.try_to_date(iso, "yyyy-MM-dd"))
+    """Day, month name and year with the word "de" between them, as ``7 de Agosto de 1819``, in any case, spacing and
+    with or without accents; null where that is no date."""
+    words = F.filter(F.split(F.lower(strip_accents(F.trim(text))), " +"), lambda w: w != "")
+    shaped = (F.size(words) == 5) & (F.get(words, F.lit(1)) == "de") & (F.get(words, F.lit(3)) == "de")
+    day, name, year = (F.get(words, F.lit(k)) for k in (0, 2, 4))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(name == MONTH_ALIAS[0], MONTH_ALIAS[1]).otherwise(name))
+    written = shaped & (month > 0) & day.rlike("^[0-9]{1,2}$") & year.rlike("^[0-9]{4}$")
+    return F.when(written, F.try_to_date(F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
+
+
+def weekday_from_name(name: Column) -> Column:
+    """0 for Monday to 6, whatever the case and accents; null for any other word."""
+    at = F.array_position(F.array(*[F.lit(w) for w in PLAIN_WEEKDAYS]), F.lower(strip_accents(F.trim(name))))
+    return F.when(at > 0, (at - 1).cast("int"))
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -67,19 +77,49 @@ def raw_to_columns(rows: DataFrame, game: str) -> DataFrame:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or a pattern names anything, by the file system it lies on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def raw_histories(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """The history files of several games in one table; a file that is missing is only warned of."""
+    out = empty_draws(spark)
+    for game, path in sorted(files.items()):
+        if _exists(spark, path):
+            out = out.unionByName(raw_history(spark, path, game))
+        else:
+            logging.getLogger(__name__).warning("no history of %s at %s", game, path)
+    return canonical(out)
+
+
+def read_canonical(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical CSV files: all text, then cast; a missing column is an error, other columns are dropped."""
+    rows = spark.read.option("header", True).csv(path)
+    return canonical(rows.select([F.col(c) for c in rows.columns]))
+
+
+def read_draws(spark: SparkSession, path: str) -> DataFrame:
+    """A canonical table, or the empty one where there is none."""
+    return read_canonical(spark, path) if _exists(spark, path) else empty_draws(spark)
+
+
 def incoming(spark: SparkSession, folder: str) -> DataFrame:
     """All canonical CSV files of a folder without exact duplicates; none: the empty table."""
-    if not os.path.isdir(folder) or not any(f.endswith(".csv") for f in os.listdir(folder)):
+    files = f"{folder.rstrip('/')}/*.csv"
+    if not _exists(spark, files):
         return empty_draws(spark)
-    text = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
-    return canonical(spark.read.schema(text).option("header", True).option("enforceSchema", False).csv(folder)).dropDuplicates(COLUMNS)
+    return read_canonical(spark, files).dropDuplicates(COLUMNS)
 
 
 def concat_draws(*frames: DataFrame) -> DataFrame:
+    """The rows of all tables, canonical."""
     out = frames[0].select(COLUMNS)
     for f in frames[1:]:
         out = out.unionByName(f.select(COLUMNS))
-    return out
+    return canonical(out)
 
 
 def _numbers(df: DataFrame, spec_labels: int = 43) -> DataFrame:
@@ -113,7 +153,7 @@ def draws_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def faulty(draws: DataFrame) -> DataFrame:
     """Draws with faults within rows and in their sequence, by arithmetic on the number."""
     n = F.col("n_sorteo")
-    out = draws.select(COLUMNS)
+    out = draws.select(COLUMNS).withColumn("fecha", F.when(n % 307 != 0, F.col("fecha")))
     out = out.withColumn("b5", F.when(n % 97 == 0, 44).otherwise(F.col("b5"))).withColumn("superbalota", F.when(n % 89 == 0, 17).otherwise(F.col("superbalota")))
     out = out.withColumn("b2", F.when(n % 83 == 0, F.col("b1")).otherwise(F.col("b2"))).withColumn("fecha", F.when(n % 151 == 0, F.date_add("fecha", -9)).otherwise(F.col("fecha")))
     return out.withColumn("juego", F.when(n % 211 == 0, "miloto").otherwise(F.col("juego"))).where("n_sorteo % 101 <> 0")

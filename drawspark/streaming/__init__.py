@@ -1 +1 @@
-
+"""Streams: incoming files picked up as they arrive."""
