@@ -18,6 +18,7 @@ class GameSpec:
     min_train: int = 150
     refit_every: int = 10
     gap_cap: int = 100
+    seed: int = 42
     windows: tuple[int, ...] = (10, 30, 100)
     trend_half: int = 15
 
@@ -29,6 +30,14 @@ class GameSpec:
     def p_extra(self) -> float:
         return 1 / self.extras
 
+    def drums(self) -> tuple[tuple[str, int], ...]:
+        """The drums and how many labels each holds."""
+        return (("balls", self.labels), ("sb", self.extras))
+
+    @property
+    def first_test(self) -> int:
+        return self.warmup + self.min_train
+
     @property
     def plays(self) -> int:
         return math.comb(self.labels, self.drawn) * self.extras
@@ -46,16 +55,6 @@ class GameSpec:
 SPEC = GameSpec()
 
 
-def chi2_tail(x: float, df: int) -> float:
-    """P(X >= x) by the finite sums that hold for whole degrees of freedom."""
-    if x <= 0:
-        return 1.0
-    half, log_half = x / 2, math.log(x / 2)
-    if df % 2 == 0:
-        return math.exp(-half) * sum(math.exp(k * log_half - math.lgamma(k + 1)) for k in range(df // 2))
-    return math.erfc(math.sqrt(half)) + math.exp(-half) * sum(math.exp((k - 0.5) * log_half - math.lgamma(k + 0.5)) for k in range(1, (df - 1) // 2 + 1))
-
-
 def binomial_two_sided(k: int, n: int, p: float) -> float:
     """Sum of the chances of all outcomes no likelier than k."""
     def log_pmf(i: int) -> float:
@@ -63,11 +62,3 @@ def binomial_two_sided(k: int, n: int, p: float) -> float:
 
     own = log_pmf(k)
     return min(1.0, sum(math.exp(x) for x in map(log_pmf, range(n + 1)) if x <= own + 1e-7))
-
-
-def ks_uniform(values: list[float]) -> tuple[float, float]:
-    """Kolmogorov-Smirnov distance from the uniform law and its asymptotic p-value."""
-    v, n = sorted(values), len(values)
-    d = max(max((i + 1) / n - x, x - i / n) for i, x in enumerate(v))
-    t = (math.sqrt(n) + 0.12 + 0.11 / math.sqrt(n)) * d
-    return d, max(0.0, min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * t * t) for k in range(1, 101))))

@@ -9,9 +9,8 @@ from pyspark.sql.window import Window
 from drawspark.functions.game import SPEC, GameSpec
 
 
-
 def _order():
-    return Window.partitionBy("juego", "num").orderBy("t")
+    return Window.partitionBy("juego", "drum", "num").orderBy("t")
 
 
 def _past():
@@ -23,14 +22,26 @@ def indexed(draws: DataFrame) -> DataFrame:
     return draws.withColumn("t", (F.row_number().over(Window.partitionBy("juego").orderBy("n_sorteo")) - 1).cast("long"))
 
 
-def membership(draws: DataFrame, spec: GameSpec = SPEC, next_row: bool = False) -> DataFrame:
-    """A row a draw and label, y saying whether it was drawn; next_row adds the unknown draw that comes, y null."""
-    rows = indexed(draws).select("juego", "t", "n_sorteo", "fecha", "balls")
-    if next_row:
-        after = rows.groupBy("juego").agg((F.max("t") + 1).alias("t")).select("juego", "t", F.lit(None).cast("long").alias("n_sorteo"), F.lit(None).cast("date").alias("fecha"), F.lit(None).cast("array<int>").alias("balls"))
-        rows = rows.unionByName(after)
-    each = rows.withColumn("num", F.explode(F.sequence(F.lit(1), F.lit(spec.labels))))
-    return each.select("juego", "t", "n_sorteo", "fecha", "num", F.array_contains("balls", F.col("num")).cast("int").alias("y"))
+def head(draws: DataFrame, n: int) -> DataFrame:
+    """The first n draws of every game."""
+    return indexed(draws).where(F.col("t") < n)
+
+
+def membership(draws: DataFrame, spec: GameSpec = SPEC, next_days: DataFrame | None = None) -> DataFrame:
+    """A row a draw and label of both drums ('balls', 'sb'), y saying whether it was drawn.
+
+    ``next_days`` (juego, fecha) adds the unknown draw that comes, with y and n_sorteo null.
+    """
+    rows = indexed(draws).select("juego", "t", "n_sorteo", "fecha", "balls", "superbalota")
+    if next_days is not None:
+        last = rows.groupBy("juego").agg((F.max("t") + 1).alias("t"))
+        after = last.join(next_days.select("juego", "fecha"), "juego")
+        nothing = {"n_sorteo": "long", "balls": "array<int>", "superbalota": "int"}
+        rows = rows.unionByName(after.select("juego", "t", "fecha", *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()]))
+    labels = [F.struct(F.lit(d).alias("drum"), F.lit(j).alias("num")) for d, k in spec.drums() for j in range(1, k + 1)]
+    each = rows.withColumn("label", F.explode(F.array(*labels))).select("*", "label.drum", "label.num")
+    drawn = F.when(F.col("drum") == "balls", F.array_contains("balls", F.col("num"))).otherwise(F.col("superbalota") == F.col("num"))
+    return each.select("juego", "drum", "t", "n_sorteo", "fecha", "num", drawn.cast("int").alias("y"))
 
 
 def past_count() -> Column:
@@ -58,24 +69,64 @@ def features(members: DataFrame, spec: GameSpec = SPEC) -> DataFrame:
     h = spec.trend_half
     day = F.weekday("fecha")
     return counted.select(
-        "juego", "t", "num", "y", "past", *[window_frequency("past", w).alias(f"freq_{w}") for w in spec.windows], "gap",
+        "juego", "drum", "t", "num", "y", "past", *[window_frequency("past", w).alias(f"freq_{w}") for w in spec.windows], "gap",
         (window_frequency("past", h) - window_frequency("past", 2 * h, h)).alias("trend"),
         *[(day == k).cast("double").alias(n) for k, n in ((0, "dia_lunes"), (2, "dia_miercoles"), (5, "dia_sabado"))],
     )
 
 
-def extra_membership(draws: DataFrame, spec: GameSpec = SPEC) -> DataFrame:
-    """As membership, for the extra label: one of 1..extras a draw."""
-    each = indexed(draws).withColumn("num", F.explode(F.sequence(F.lit(1), F.lit(spec.extras))))
-    return each.select("juego", "t", "n_sorteo", "fecha", "num", (F.col("superbalota") == F.col("num")).cast("int").alias("y"))
+def chance(spec: GameSpec = SPEC) -> Column:
+    """The chance of a label of the row's drum."""
+    return F.when(F.col("drum") == "balls", F.lit(spec.p_label)).otherwise(F.lit(spec.p_extra))
 
 
-def frequency_baseline(members: DataFrame, a: float = 10.0, spec: GameSpec = SPEC, p0: float | None = None) -> DataFrame:
-    """(count before t + a p0) / (t + a); p0 is the chance of a ball if not given."""
-    return members.withColumn("p", (past_count() + a * (spec.p_label if p0 is None else p0)) / (F.col("t") + a))
+def constant_baseline(members: DataFrame, spec: GameSpec = SPEC) -> DataFrame:
+    return members.withColumn("p", chance(spec))
+
+
+def frequency_baseline(members: DataFrame, a: float = 10.0, spec: GameSpec = SPEC) -> DataFrame:
+    """(count before t + a p0) / (t + a), p0 the chance of a label."""
+    return members.withColumn("p", (past_count() + a * chance(spec)) / (F.col("t") + a))
 
 
 def leaky_frequency(members: DataFrame, w: int = 10) -> DataFrame:
     """A rolling frequency that includes the draw itself: wrong on purpose, to show what leakage does."""
     inside = _order().rowsBetween(1 - w, 0)
     return members.withColumn("freq", F.sum("y").over(inside) / F.count("y").over(inside))
+
+
+def normalized(forecast: DataFrame) -> DataFrame:
+    """The extra label's chances made to add up to 1 in every draw; the balls' stay."""
+    total = F.sum("p").over(Window.partitionBy("juego", "drum", "t"))
+    return forecast.withColumn("p", F.when(F.col("drum") == "sb", F.col("p") / total).otherwise(F.col("p")))
+
+
+def scaler_statistics(features: DataFrame, block_starts: DataFrame, columns: list[str], spec: GameSpec = SPEC, legacy: bool = False) -> DataFrame:
+    """Mean and scale by which the columns of each label are standardised, for the training rows of every block.
+
+    ``block_starts``: (juego, start); a block trains on warmup <= t < start.  The gap counts as log1p of it unless
+    ``legacy``; a column without spread has scale 1.  Counts, sums and sums of squares are accumulated once, so a block
+    costs one lookup and not one pass.
+    """
+    rows = features.where((F.col("t") >= spec.warmup) & F.col("y").isNotNull())
+    value = lambda c: F.log1p(c) if c == "gap" and not legacy else F.col(c).cast("double")
+    before = _order().rowsBetween(Window.unboundedPreceding, -1)
+    kept = rows.select("juego", "drum", "num", "t", F.count("*").over(before).alias("n"), *[x for c in columns for x in (F.sum(value(c)).over(before).alias(f"{c}_s"), F.sum(value(c) ** 2).over(before).alias(f"{c}_q"))])
+    at = kept.join(block_starts.withColumnRenamed("start", "t"), ["juego", "t"])
+    out = [F.col("juego"), F.col("drum"), F.col("num"), F.col("t").alias("start"), F.col("n")]
+    for c in columns:
+        mean = F.col(f"{c}_s") / F.col("n")
+        spread = F.greatest(F.col(f"{c}_q") / F.col("n") - mean**2, F.lit(0.0))
+        out += [mean.alias(f"{c}_mean"), F.when(spread > 1e-18, F.sqrt(spread)).otherwise(1.0).alias(f"{c}_scale")]
+    return at.where("n > 0").select(*out)
+
+
+def hot_cold(members: DataFrame, windows: list[int], drum: str = "balls") -> DataFrame:
+    """(juego, t, num, y, w, freq): the frequency of every label in the windows of several widths before each draw.
+
+    All windows come from one running count, looked up by position, so forty cost little more than one.
+    """
+    counted = members.where((F.col("drum") == drum) & F.col("y").isNotNull()).withColumn("past", past_count())
+    pick = F.array(*[F.struct(F.lit(w).alias("w"), window_frequency("past", w).alias("freq")) for w in windows])
+    picked = counted.select("juego", "drum", "t", "num", "y", pick.alias("picked"))
+    return picked.select("juego", "drum", "t", "num", "y", F.explode("picked").alias("x")).select("juego", "drum", "t", "num", "y", "x.w", "x.freq")

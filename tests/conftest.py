@@ -12,7 +12,7 @@ DATA = os.environ.get("TEST_DATA", "/root/testdata")
 def spark(tmp_path_factory):
     from drawspark.session import session
 
-    made = session("local[8]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="6g", spark__ui__showConsoleProgress="false", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
+    made = session("local[4]", "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="6g", spark__ui__showConsoleProgress="false", spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     made.sparkContext.setLogLevel("ERROR")
     made.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield made
