@@ -71,20 +71,26 @@ def capped_targets(sizes, weights, total: float, most: float) -> np.ndarray:
 def whole_copies(sizes, wanted: int, most: int) -> np.ndarray:
     """How often to take each of some whole documents so that their sizes add up to nearly ``wanted``.
 
-    From the largest down, each document is taken as often as brings the sum nearest to its share so far; what one
-    is off the next ones make up for, so the sum is off by no more than the smallest document once all have been.
+    From the largest down, each document is taken as often as its share so far leaves room for; what one leaves over the
+    next ones take.  What is left at the end goes by single copies, the largest first, where one more brings the sum
+    nearer.
     """
     sizes = np.asarray(sizes, np.int64)
     total, out = int(sizes.sum()), np.zeros(len(sizes), np.int64)
+    if 2 * wanted > most * total:  # what is left out is chosen in the same way
+        return np.where(sizes > 0, most - whole_copies(sizes, most * total - wanted, most), 0)
     due = have = 0
     for i in np.argsort(-sizes, kind="stable"):
         n = int(sizes[i])
         if n == 0:
             continue
         due += n
-        # the nearest whole number of copies to (due * wanted / total - have) / n
-        out[i] = min(most, max(0, (2 * (due * wanted - have * total) + n * total) // (2 * n * total)))
+        out[i] = min(most, max(0, (due * wanted - have * total) // (n * total)))
         have += int(out[i]) * n
+    for i in np.argsort(-sizes, kind="stable"):
+        n = int(sizes[i])
+        if 0 < n < 2 * (wanted - have) and out[i] < most:
+            out[i], have = out[i] + 1, have + n
     return out
 
 

@@ -203,6 +203,19 @@ def _index(reps: DataFrame, rule: Rule, counted: Counted) -> DataFrame:
     return reps.select("rep", "n", "ext").mapInArrow(make, "sig long, rep long")
 
 
+def _numbered(reps: DataFrame) -> DataFrame:
+    """``reps`` (node, id, …) with ``rep``, the number that a set has in links.
+
+    That is its smallest id where ids are whole numbers, so the smallest of some sets is the one that came first, which
+    later versions mostly resemble; of sets with one smallest id all but one keep their hash, as do all for other ids.
+    """
+    if reps.schema["id"].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return reps.withColumn("rep", F.col("node"))
+    clash = settle(reps.groupBy(F.col("id").alias("of_id")).agg(F.min("node").alias("first"), F.count("*").alias("k")).where("k > 1").select("of_id", "first"))
+    known = reps.withColumn("first", F.col("node")) if clash.isEmpty() else reps.join(clash, F.col("id") == F.col("of_id"), "left").drop("of_id").withColumn("first", F.coalesce("first", "node"))
+    return known.withColumn("rep", F.when(F.col("first") == F.col("node"), F.col("id").cast("long")).otherwise(F.col("node"))).drop("first")
+
+
 def _few(pairs: DataFrame) -> DataFrame:
     """The nodes in the pairs."""
     return settle(pairs.select(F.col("a").alias("at")).unionByName(pairs.select(F.col("b").alias("at"))).distinct())
@@ -214,11 +227,12 @@ def _marked(nodes: DataFrame) -> DataFrame:
 
 
 def _wanted(nodes: DataFrame, reps: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the wanted nodes, made anew from the texts: from those rows whose id a node has as its smallest."""
-    of = settle(reps.select("rep", F.col("id").alias("of_id")).join(_marked(nodes), F.col("rep") == F.col("at"), "left_semi"))
+    """(id, shingles) of the wanted sets by their numbers, made anew from the texts: from those rows whose id a set has as
+    its smallest."""
+    of = settle(reps.select("rep", F.col("node").alias("of_node"), F.col("id").alias("of_id")).join(_marked(nodes), F.col("rep") == F.col("at"), "left_semi"))
     texts = rows.join(_marked(of.select("of_id").distinct()), rows["id"] == F.col("of_id"), "left_semi")
-    made = _whole(texts, width).join(_marked(of.select("rep")), F.col("id") == F.col("rep"), "left_semi")
-    out = settle(made.dropDuplicates(["id"]))
+    made = _whole(texts, width).join(_marked(of.select("rep", "of_node")), F.col("id") == F.col("of_node"))
+    out = settle(made.select(F.col("rep").alias("id"), "shingles").dropDuplicates(["id"]))
     drop(of)
     return out
 
@@ -384,8 +398,9 @@ def _whole(rows: DataFrame, width: int) -> DataFrame:
 
 
 def classes(rows: DataFrame, rule: Rule, width: int, frequent_from: int = 8, most_frequent: int = MOST_FREQUENT) -> DataFrame:
-    """(node, id, component) of every set of the rows (id, text): its smallest id, and the smallest node that links reach."""
-    reps = settle(_sets(rows, width, rule).where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("ext").alias("ext")).withColumnRenamed("node", "rep"))
+    """(node, id, component) of every set of the rows (id, text): its smallest id, and the smallest number that links reach."""
+    base = settle(_sets(rows, width, rule).where("n > 0 and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("ext").alias("ext")))
+    reps = _numbered(base)
     indexed = reps.where(F.size("ext") > 0)
     counted = _counted(indexed, frequent_from, most_frequent)
     every = settle(_index(indexed, rule, counted))
@@ -406,8 +421,9 @@ def classes(rows: DataFrame, rule: Rule, width: int, frequent_from: int = 8, mos
     if not more.isEmpty():
         drop(labels)
         labels = components(links.unionByName(more))
-    out = settle(reps.select("rep", "id").join(labels, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("node"), "id", F.coalesce("component", "rep").alias("component")))
-    drop(reps, links, more, open_nodes, labels)
+    ends = labels.select(F.col("node").alias("end"), "component")
+    out = settle(reps.select("rep", "node", "id").join(ends, F.col("rep") == F.col("end"), "left").select("node", "id", F.coalesce("component", "rep").alias("component")))
+    drop(base, links, more, open_nodes, labels)
     return out
 
 

@@ -108,8 +108,9 @@ def packed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone.  Repeated rows are packed as
     documents of their own.  Only a chunk's last sequences are of shorter lengths, all powers of two, so none is
     padded.  step_group deals a chunk's sequences of one tier into groups of ``step``, so that a group's
-    sequences are of one length and its tokens those of any other group of the tier.  An empty table gives an
-    empty result.
+    sequences are of one length and its tokens those of any other group of the tier.  A text of any length is packed
+    whole, cut into windows of the longest tier, and may be a chunk by itself; pieces of equal length keep the order of
+    their documents.  Documents without an id are packed like any other.  An empty table gives an empty result.
     """
     path = path or vocabulary()
     kind = documents.schema[id_col].dataType

@@ -35,17 +35,17 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
     return [loads.get(s, 0) for s in range(shards)]
 
 
-def _shift(rows: DataFrame, shards: int, movable: Column, spot: Column, slack: float) -> DataFrame | None:
+def _shift(rows: DataFrame, shards: int, movable: Column, spot: Column, slack: float, over: float = 0.0) -> DataFrame | None:
     """``rows`` (with size and shard) with some of the movable ones brought from shards above the mean to those below.
 
     Rows leave in the order of their bin ``spot``, whole bins only and never more than a shard has too much or another
-    has room for.  The driver sees loads and bin ranges by shard.  None: no shard is beyond the mean by more than
+    has room for, which is up to the mean and the share ``over`` of it.  The driver sees loads and bin ranges by shard.  None: no shard is beyond the mean by more than
     the slack's share, or nothing can go.
     """
     load, shard = _loads(rows, shards), F.col("shard")
     mean = sum(load) / shards
     spare = {s: load[s] - mean for s in range(shards) if load[s] > mean}
-    room = {s: mean - load[s] for s in range(shards) if load[s] < mean}
+    room = {s: mean * (1 + over) - load[s] for s in range(shards) if load[s] < mean}
     if not spare or max(spare.values()) <= mean * slack:
         return None
     plan = []  # (from, to, first byte, last byte) on the axis of a shard's movable bytes
@@ -167,11 +167,11 @@ def shard(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     )
     drop(docs, linked, moved)
     single, whole = ~F.col("linked"), F.col("linked") & ~F.col("pinned")
-    steps = [(single, _bin(BINS, "id", F.lit(k)), FINE) for k in range(3)] + [(whole, _bin(BINS, "text", F.lit(k)), COARSE / 2) for k in range(6)]
-    steps += [(single, _bin(BINS, "id", F.lit(k)), FINE) for k in range(3, 6)]
+    steps = [(single, _bin(BINS, "id", F.lit(k)), FINE, 0.0) for k in range(3)] + [(whole, _bin(BINS, "text", F.lit(k)), COARSE / 2, 0.9 * COARSE) for k in range(8)]
+    steps += [(single, _bin(BINS, "id", F.lit(k)), FINE, 0.0) for k in range(3, 6)]
     # only where sizes are still further apart: ranges whose ends may cut a text
-    steps += [(F.lit(True), _bin(1 << 10, "text", F.lit(k)) * 64 + _bin(64, "id", F.lit(k)), COARSE) for k in range(3)]
-    for movable, spot, slack in steps:
-        rows = _shift(rows, shards, movable, spot, slack) or rows
+    steps += [(F.lit(True), _bin(1 << 10, "text", F.lit(k)) * 64 + _bin(64, "id", F.lit(k)), COARSE, 0.0) for k in range(3)]
+    for step in steps:
+        rows = _shift(rows, shards, *step) or rows
     out = numbered(rows, "shard", [F.col("id"), F.col("text_crc32"), F.col("size")], "slot", known["n"])
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -12,7 +12,10 @@ from .encoding import encoder, vocabulary
 
 
 def lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """The number of tokens of every whole text; null and empty texts have 0."""
+    """The number of tokens of every whole text, however long; null and empty texts have 0.
+
+    Repeated rows are rows of their own; an empty table gives an empty result; other columns are not read.
+    """
     path = path or vocabulary()
 
     def count(batches):
@@ -26,6 +29,7 @@ def lengths(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def histogram(counted: DataFrame) -> DataFrame:
+    """How many documents have each number of tokens; repeated rows count each, an empty table gives no row."""
     return counted.groupBy("n_tokens").agg(F.count("*").alias("docs"))
 
 
