@@ -87,7 +87,7 @@ def _admitted(load: list[int], flow: dict[tuple[int, int], int], cap: float) ->
     return share
 
 
-def _propagate(cells: DataFrame, shards: int, cap: float, pinned: list[float]) -> DataFrame:
+def _propagate(cells: DataFrame, shards: int, cap: float, pinned: list[int]) -> DataFrame:
     """Cells (text, cell, size, shard) after the rounds, every text whole; a round is one join by text and two small collects.
 
     ``pinned`` bytes of each shard are taken already.  What the rounds leave split joins its largest part at the end.
@@ -141,15 +141,11 @@ def shard(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     cells = docs.where("text is not null").groupBy("text", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     texts = cells.groupBy("text").agg(F.sum("rows").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     linked = settle(cells.join(texts.select("text", "bytes"), "text").select("text", "cell", "size", "bytes").coalesce(parts))
-    # texts beyond a shard's quota are fewer than the shards, their cells fewer than 256 times that
-    with tidy(spark):
-        large = linked.where(F.col("bytes") > quota).orderBy("text", "cell").collect()
-    pinned, places, at = [0.0] * shards, [], 0
-    for r in large:
-        s = min(shards - 1, at // quota)
-        places.append((r["text"], r["cell"], s))
-        pinned[s] += r["size"]
-        at += r["size"]
+    # texts beyond a shard's quota are fewer than the shards, their cells fewer than 256 times that: one window holds them
+    before = F.sum("size").over(Window.orderBy("text", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.least(F.lit(shards - 1), F.floor(F.coalesce(before, F.lit(0)) / quota)).cast("int")
+    large = settle(linked.where(F.col("bytes") > quota).select("text", "cell", "size", place.alias("shard")))
+    pinned = _loads(large, shards)
     # everything else starts where shards have room, by the hash of a cell or of an id
     room = [max(0.0, quota - x) for x in pinned]
     bounds, up_to = [], 0.0
@@ -159,13 +155,13 @@ def shard(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     start = lambda v: F.least(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= v)), F.lit(shards - 1))
     small = linked.where(F.col("bytes") <= quota).select("text", "cell", "size", let(u("text", "cell"), start).alias("shard"))
     moved = _propagate(settle(small), shards, quota * (1 + COARSE), pinned)
-    fixed = spark.createDataFrame(places, "text string, cell int, shard int")
-    labels = moved.select("text", "cell", F.col("shard").alias("label"), F.lit(False).alias("pinned")).unionByName(fixed.select("text", "cell", F.col("shard").alias("label"), F.lit(True).alias("pinned")))
+    labels = moved.select("text", "cell", F.col("shard").alias("label"), F.lit(False).alias("pinned"))
+    labels = labels.unionByName(large.select("text", "cell", F.col("shard").alias("label"), F.lit(True).alias("pinned")))
     joined = docs.join(labels, ["text", "cell"], "left")
     rows = settle(
         joined.select("id", "size", "text_crc32", F.xxhash64("text").alias("text"), F.coalesce("label", let(u("id"), start)).alias("shard"), F.col("label").isNotNull().alias("linked"), F.coalesce("pinned", F.lit(False)).alias("pinned")).coalesce(parts)
     )
-    drop(docs, linked, moved)
+    drop(docs, linked, moved, large)
     single, whole = ~F.col("linked"), F.col("linked") & ~F.col("pinned")
     steps = [(single, _bin(BINS, "id", F.lit(k)), FINE, 0.0) for k in range(3)] + [(whole, _bin(BINS, "text", F.lit(k)), COARSE / 2, 0.9 * COARSE) for k in range(8)]
     steps += [(single, _bin(BINS, "id", F.lit(k)), FINE, 0.0) for k in range(3, 6)]
