@@ -89,7 +89,9 @@ def test_spread_join_is_a_join(spark):
         assert sorted(map(str, spread_join(left, "k", right, "r", 50, how).collect())) == sorted(map(str, plain.collect()))
 
 
-def test_long_lists_are_tiled(spark, texts, monkeypatch):
+def test_slices_and_tiles(spark, texts, monkeypatch, few_slices):
+    assert few_slices == 4
+    monkeypatch.setattr(ngram_join, "SLICES", few_slices)
     monkeypatch.setattr(ngram_join._across, "__defaults__", (2,))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, percent=80, width=5, frequent_from=3).collect()}
