@@ -430,6 +430,16 @@ def winner_percentiles(s, d):
     return montecarlo.winner_percentiles(_plays(s, d), ["juego", "n_sorteo"])
 
 
+@query()
+def winner_percentile_summary(s, d):
+    """Mean with its interval, tenths, and the distance from the uniform law, of where results stood among random plays."""
+    rows = montecarlo.winner_percentiles(_plays(s, d), ["juego", "n_sorteo"]).cache()  # one number a draw
+    low, high = E.mean_interval(F.col("u"))
+    tenth = F.least(F.floor(F.round("u", 12) * 10), F.lit(9))
+    g = rows.groupBy("juego").agg(F.count("*").alias("n"), F.avg("u").alias("mean"), low.alias("low"), high.alias("high"), F.array(*[F.sum((tenth == k).cast("long")) for k in range(10)]).alias("deciles"))
+    return g.join(E.ks_uniform(rows, "u", ["juego"]).select("juego", "d", "p_ks"), "juego")
+
+
 @query()
 def replay(s, d):
     """Results of the last 40 days of the histories, each by a model fitted on all draws before it."""
