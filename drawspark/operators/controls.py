@@ -85,12 +85,21 @@ def trap_grid(draws: DataFrame, spec: GameSpec = SPEC, test_share: float = 0.25)
 
 
 def strategy_hits(members: DataFrame, windows: list[int], spec: GameSpec = SPEC) -> DataFrame:
-    """(juego, t, w, kind, hits): hits of the play of the most ('calientes') or least ('frios') frequent balls of a window."""
-    tested = H.hot_cold(members, windows).where(F.col("t") >= spec.first_test)
-    sides = F.array(F.struct(F.lit("calientes").alias("kind"), F.col("freq").alias("value")), F.struct(F.lit("frios").alias("kind"), (-F.col("freq")).alias("value")))
-    rows = tested.select("*", F.explode(sides).alias("side")).select("juego", "drum", "t", "num", "y", "w", "side.kind", "side.value")
-    top = E.ranked(rows, F.col("value"), seed=spec.seed, extra=("w", "kind"))
-    return top.where(F.col("r") <= spec.drawn).groupBy("juego", "t", "w", "kind").agg(F.sum("y").alias("hits"))
+    """(juego, t, w, kind, hits): hits of the play of the most ('calientes') or least ('frios') frequent balls of a window.
+
+    Each draw is ranked within its own row: counts over one window stand as their frequencies do, and ties go by the digest
+    of ``E.ranked``, made only for labels that reach the last place played.
+    """
+    tested = H.window_counts(members, windows, spec.labels).where(F.col("t") >= spec.first_test)
+    low = F.transform("counts", lambda c: -c)
+    side = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.element_at(F.sort_array(value, asc=False), spec.drawn).alias("least"))
+    rows = tested.select("juego", "t", "drawn", "w", F.explode(F.array(side("calientes", F.col("counts")), side("frios", low))).alias("side"))
+    value = lambda j: F.get("side.value", j - 1)
+    key = lambda j: E.seeded_key(F.lit(spec.seed), F.col("juego"), F.lit("balls"), F.col("t"), F.col("w"), F.col("side.kind"), j)
+    reach = F.filter(F.sequence(F.lit(1), F.lit(spec.labels)), lambda j: value(j) >= F.col("side.least"))
+    placed = F.array_sort(F.transform(reach, lambda j: F.struct((-value(j)).alias("v"), key(j).alias("key"), F.get("drawn", j - 1).alias("y"))))
+    hits = F.aggregate(F.slice(placed, 1, spec.drawn), F.lit(0).cast("long"), lambda total, x: total + x["y"])
+    return rows.select("juego", "t", "w", "side.kind", hits.alias("hits"))
 
 
 def selection_bias(members: DataFrame, windows: list[int], spec: GameSpec = SPEC) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql.window import Window
 
 from drawspark.functions.game import SPEC, GameSpec
 
+#: Draws that a task takes together; those before them that their windows need come on top.
+BLOCK = 500
+
 
 def _order():
     return Window.partitionBy("juego", "drum", "num").orderBy("t")
@@ -121,12 +124,28 @@ def scaler_statistics(features: DataFrame, block_starts: DataFrame, columns: lis
     return at.where("n > 0").select(*out)
 
 
-def hot_cold(members: DataFrame, windows: list[int], drum: str = "balls") -> DataFrame:
-    """(juego, t, num, y, w, freq): the frequency of every label in the windows of several widths before each draw.
+def window_counts(members: DataFrame, windows: list[int], labels: int, drum: str = "balls", block: int = BLOCK) -> DataFrame:
+    """(juego, t, drawn, w, counts): of each label 1..``labels`` whether a draw has it and how many of the w draws before have.
 
-    All windows come from one running count, looked up by position, so forty cost little more than one.
+    A game's draws are dealt out in blocks, each with as many draws before its own as the widest window has, so that no
+    task holds a game's windows; all windows come from one running count, so forty cost little more than one.
     """
-    counted = members.where((F.col("drum") == drum) & F.col("y").isNotNull()).withColumn("past", past_count())
-    pick = F.array(*[F.struct(F.lit(w).alias("w"), window_frequency("past", w).alias("freq")) for w in windows])
-    picked = counted.select("juego", "drum", "t", "num", "y", pick.alias("picked"))
-    return picked.select("juego", "drum", "t", "num", "y", F.explode("picked").alias("x")).select("juego", "drum", "t", "num", "y", "x.w", "x.freq")
+    widest = max(windows)
+    size = max(block, widest)
+    known = members.where((F.col("drum") == drum) & F.col("y").isNotNull())
+    each = known.groupBy("juego", "t").agg(*[F.max(F.when(F.col("num") == j, F.col("y"))).alias(f"y{j}") for j in range(1, labels + 1)])
+    drawn = F.array(*[F.coalesce(f"y{j}", F.lit(0)).cast("tinyint") for j in range(1, labels + 1)])
+    placed = each.select("juego", "t", drawn.alias("drawn"), (F.row_number().over(Window.partitionBy("juego").orderBy("t")) - 1).alias("place"))
+    own = F.floor(F.col("place") / size)
+    needed = F.when(F.col("place") % size >= size - widest, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = placed.withColumn("block", F.explode(needed)).repartition(64, "juego", "block")  # few bytes, much work: not to be coalesced
+
+    order = Window.partitionBy("juego", "block").orderBy("place")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    past = F.array(*[F.coalesce(F.sum(F.get("drawn", F.lit(j))).over(before), F.lit(0)).cast("int") for j in range(labels)])
+    counted = dealt.withColumn("past", past)
+    none = F.array_repeat(F.lit(0), labels)
+    pick = F.array(*[F.struct(F.lit(w).alias("w"), F.coalesce(F.lag("past", w).over(order), none).alias("then")) for w in windows])
+    picked = counted.select("juego", "t", "drawn", "past", (own == F.col("block")).alias("own"), pick.alias("picked")).where("own")
+    x = picked.select("juego", "t", "drawn", "past", F.explode("picked").alias("x"))
+    return x.select("juego", "t", "drawn", "x.w", F.zip_with("past", "x.then", lambda now, then: now - then).alias("counts"))

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from drawspark.functions.game import SPEC
 from drawspark.operators import controls, models, montecarlo, significance
@@ -185,3 +186,19 @@ def test_percentiles_of_chance(spark):
     got = {r["g"]: r for r in E.percentile_summary(spark.createDataFrame(rows, "g string, x double"), "x", ["g"]).collect()}
     assert (got["even"]["mean"], got["even"]["middle_share"], got["even"]["deciles"]) == (50, 0.5, [10] * 10) and abs(got["even"]["from_90"] - 0.1) < 1e-12
     assert got["middle"]["p_binomial"] < 1e-6
+
+
+def test_window_counts_across_blocks(spark, sf, past):
+    rows = H.window_counts(lottery._members(spark, sf).where("juego = 'revancha' AND t < 60"), [3, 7, 20], SPEC.labels, block=5).collect()
+    assert len(rows) == len({(r["t"], r["w"]) for r in rows}) == 60 * 3
+    for r in rows:
+        assert [j + 1 for j, y in enumerate(r["drawn"]) if y] == sorted(past[r["t"] + 1]["balls"])
+        before = [b for k in range(max(r["t"] - r["w"], 0), r["t"]) for b in past[k + 1]["balls"]]
+        assert r["counts"] == [before.count(j) for j in range(1, SPEC.labels + 1)]
+
+
+def test_no_task_ranks_a_whole_game(spark, sf):
+    hits = controls.strategy_hits(lottery._members(spark, sf), [5, 200]).select("juego", "t", F.spark_partition_id().alias("task"))
+    tasks = [r["n"] for r in hits.distinct().groupBy("task").agg(F.count("*").alias("n")).collect()]
+    assert sum(tasks) == sum(n - FIRST for n in _draws(spark, sf).values())
+    assert len(tasks) > len(SPEC.games) and max(tasks) <= H.BLOCK
